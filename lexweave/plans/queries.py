@@ -92,7 +92,7 @@ for _name, _kinds in {"q04_external_acts": ("external_act",), "q05_subsections":
     QUERIES[_name], SQL[_name] = _mentions(*_kinds), f"WITH {_L} {_mentions_sql(*_kinds)}"
 
 
-@query(f"WITH {_L}, m AS ({_mentions_sql(*P.RELATION_KINDS)}), d AS (SELECT doc_id, kind, mention, min((line_no, ord)) AS at FROM m GROUP BY ALL) SELECT doc_id, kind, mention, (row_number() OVER (PARTITION BY doc_id, kind ORDER BY at, mention))::INT AS place FROM d")
+@query(f"WITH {_L}, m AS ({_mentions_sql(*P.RELATION_KINDS)}), d AS (SELECT doc_id, kind, mention, min((line_no, ord)) AS first_at FROM m GROUP BY ALL) SELECT doc_id, kind, mention, (row_number() OVER (PARTITION BY doc_id, kind ORDER BY first_at, mention))::INT AS place FROM d")
 def q09_all_mentions(spark, sf_dir):
     return mentions.ordered_distinct(_mentions(*P.RELATION_KINDS)(spark, sf_dir))
 
