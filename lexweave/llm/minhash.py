@@ -2,12 +2,13 @@
 
 1. One scan: each document's set of distinct word shingles (64-bit hashes), a 128-bit digest of the set, a SuperMinHash
    signature, and the signature's band keys. Equal sets form a class; only its smallest document goes on.
-2. Band keys met twice: each member gets an edge to the smallest member (a min aggregation and an equi-join, no
-   collected bucket), and edges are verified on the full sets.
-3. Components of verified edges. In buckets that still hold several components, all pairs across components (whose
-   sizes allow the similarity) are verified too; so no bucket member goes uncompared unless it is known to be in the same
-   component, and a bucket of thousands of near copies costs links in its number of members, not of its pairs.
-4. Components again (union by smallest id), and classes give their members their component.
+2. Band keys met twice are buckets. Pivot rounds: the members of a bucket meet one of them (the smallest, then others
+   at random), and pairs are verified on the full sets. Verified links give components.
+3. In buckets that still hold several components, all pairs across components are compared. So no pair of a bucket goes
+   uncompared unless it is known to be in one component, and a bucket of thousands of near copies costs pairs in its
+   number of members. Before the full sets, sizes and one-bit sketches (a bit of each signature value) rule pairs out
+   that cannot reach the similarity; at 0.75 a sketch is wrong for one pair in three million.
+4. Components (union by smallest id); classes give their members their component.
 
 Banding: 48 bands of 5 rows miss a pair at similarity 0.75 with probability (1 - 0.75^5)^48 = 2.3e-6.
 
@@ -31,6 +32,7 @@ from .shared import as_bytes, components, drop_written, mix64, text_slices, word
 
 SHINGLE, SHARE = 5, 75
 BANDS, ROWS = 48, 5
+PIVOT_ROUNDS = 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,13 +130,15 @@ def _scan(k: int, bands: int, rows: int):
             for batch in text_slices(whole, most_bytes=4 << 20):
                 sets = shingle_sets(as_bytes(batch.column("text")), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), bands), np.int64)
+                keys, words_ = np.zeros((len(sets), bands), np.int64), -(-bands * rows // 64)
+                sketch = np.zeros((len(sets), words_), np.int64)
                 if full:
-                    keys[full] = band_keys(super_minhash([sets[i] for i in full], bands * rows), bands, rows)
+                    sig = super_minhash([sets[i] for i in full], bands * rows)
+                    keys[full], sketch[full] = band_keys(sig, bands, rows), _sketches(sig)
                 one, two = _digests(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))],
-                    names=["doc_id", "n", "d1", "d2", "bands"],
+                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (keys, sketch))],
+                    names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
                 )
 
     return run
@@ -160,44 +164,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").where(100 * both >= share * (F.size("left") + F.size("right") - both)).select("a", "b")
 
 
+def _sketches(sig: np.ndarray) -> np.ndarray:
+    """The lowest bit of each signature value, packed into longs: equal values agree, others agree half of the time."""
+    bits = (sig & 1).astype(np.uint8)
+    wide = np.zeros((len(sig), -(-sig.shape[1] // 64) * 64), np.uint8)
+    wide[:, : sig.shape[1]] = bits
+    return np.packbits(wide, axis=1, bitorder="little").view("<i8")
+
+
+def _most_differing(m: int, share: int) -> int:
+    """Bits in which a pair at the similarity differs at most, but for one in three million (five deviations)."""
+    p = (1 - share / 100) / 2
+    return int(m * p + 5 * (m * p * (1 - p)) ** 0.5) + 1
+
+
+def _may_link(share: int, m: int):
+    """Condition on rows l and r of a bucket: other component, sizes that allow the similarity, sketches near enough."""
+    differing = sum((F.bit_count(F.get("l.sketch", F.lit(i)).bitwiseXOR(F.get("r.sketch", F.lit(i)))) for i in range(1, -(-m // 64))), F.bit_count(F.get("l.sketch", F.lit(0)).bitwiseXOR(F.get("r.sketch", F.lit(0)))))
+    return (F.col("l.component") != F.col("r.component")) & (100 * F.least("l.n", "r.n") >= share * F.greatest("l.n", "r.n")) & (differing <= _most_differing(m, share))
+
+
 def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     own = docs.select("doc_id", "text")
     # A doc_id may stand in several rows; then a set is named by its digest as well, and rows of one id are linked.
-    scan = written(own.mapInArrow(_scan(k, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
-    # classes of equal sets; those that share a doc_id (repeated rows with other texts) are linked by an edge
+    scan = written(own.mapInArrow(_scan(k, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "signatures")
     some = scan.where("n > 0 and doc_id is not null")
     twice_named = _repeats(scan)
-    classes = written(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    heads = classes.select("class", "n", F.explode("bands").alias("key"))
-    met = heads.groupBy("key").agg(F.min("class").alias("low"), F.count("*").alias("many")).where("many > 1").select("key", "low")
-    buckets = written(heads.join(met, "key").select("key", F.col("class").alias("id"), "n", "low"), "buckets")
-    star = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    star = written(star, "star")
-    involved = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(own.join(involved, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
-    links = written(_verified(star, sets, share), "links")
-    groups = written(components(links, "near"), "near-groups")
-    # buckets that still hold several components
-    labelled = written(buckets.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key", "left_semi")
-    one, two = left.alias("l"), left.alias("r")
-    near_size = (100 * F.least("l.n", "r.n") >= share * F.greatest("l.n", "r.n")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
-    pairs = one.join(two, (F.col("l.key") == F.col("r.key")) & near_size).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    more = _verified(pairs.join(star, ["a", "b"], "left_anti"), sets, share)
-    all_links = links.unionByName(more)
+    classes = written(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class")), "classes")
+    heads = some.join(classes, ["d1", "d2", "n"]).where("doc_id = class").select(F.col("class").alias("id"), "n", "sketch", "bands")
+    keys = heads.select("id", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    shared = written(keys.join(met, "key"), "bucket-keys")
+    buckets = written(shared.join(heads.select("id", "n", "sketch"), "id"), "buckets")
+    sets = written(own.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
+    drop_written(shared)
+    links, groups = None, None
+    # Pivot rounds: a bucket's members meet one of them, first the smallest, then others at random. Each costs pairs in
+    # the number of members; after them only what is still apart is compared with each other.
+    for turn in range(1 + PIVOT_ROUNDS):
+        left = _mixed(buckets, groups)
+        if turn and left.isEmpty():
+            break
+        order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
+        pivot = left.groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch", "component"), order).alias("p")).select("key", "p.*")
+        links, groups = _joined(left, pivot, sets, share, bands * rows, links, f"pivot-{turn}")
+    left = _mixed(buckets, groups)
+    links, groups = _joined(left, left.where("true"), sets, share, bands * rows, links, "rest", ordered=True)
     if twice_named:
-        twice = some.join(classes.select("d1", "d2", "n", "class"), ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-        all_links = all_links.unionByName(twice.select("a", "b"))
-    final = components(all_links, "near-all")
-    by_class = classes.select("d1", "d2", "n", "class").join(final, F.col("class") == F.col("id"), "left").select("d1", "d2", "n", F.coalesce("component", "class").alias("component"))
-    keys = scan.select("doc_id", "n", "d1", "d2")
-    out = keys.join(by_class, ["d1", "d2", "n"], "left")
+        twice = some.join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.col("doc_id").alias("c"))
+        twice = twice.select("a", "b").unionByName(twice.select("a", F.col("c").alias("b"))).where("a <> b")
+        groups = written(components(links.unionByName(twice), "near-all"), "near-all")
+    by_class = classes.join(groups, F.col("class") == F.col("id"), "left").select("d1", "d2", "n", F.coalesce("component", "class").alias("component"))
+    out = scan.select("doc_id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _mixed(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows of buckets whose members are in several components, with their component."""
+    if groups is None:
+        return buckets.withColumn("component", F.col("id"))
+    told = buckets.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return told.join(apart, "key", "left_semi")
+
+
+def _joined(left: DataFrame, right: DataFrame, sets: DataFrame, share: int, m: int, links: DataFrame | None, name: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verify the pairs of left and right rows of a bucket that may link; all links so far, and their components."""
+    on = (F.col("l.key") == F.col("r.key")) & _may_link(share, m)
+    on = on & (F.col("l.id") < F.col("r.id")) if ordered else on
+    pairs = left.alias("l").join(right.alias("r"), on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    found = written(_verified(pairs, sets, share), f"links-{name}")
+    links = found if links is None else links.unionByName(found)
+    return links, written(components(links, f"near-{name}"), f"groups-{name}")
+
+
 def _repeats(scan: DataFrame) -> bool:
     """Whether any doc_id stands in several rows."""
     return not scan.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -103,7 +103,10 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     table, so nothing is collected and a lost executor costs one round at most. Ids without edges are left out.
     """
     now = written(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges")
-    before = None
+    mark_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = mark_of(now)
+    if before[0] == 0:
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(most_rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -113,7 +116,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         small = down.join(floor, "a").select(F.col("b").alias("x"), "m", "a")
         pairs = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         after = written(pairs.where("a <> b").distinct(), f"{name}-round")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        mark = mark_of(after)
         drop_written(now)
         now = after
         if mark == before:
