@@ -27,6 +27,8 @@ from .shared import text_slices, written
 from .tokens import encoder, public_path
 
 CAPACITY = 1024
+#: Pieces that a worker's encoder remembers.
+REMEMBER = 200_000
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
@@ -90,9 +92,9 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pat
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen = encoder(path, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, task, seen = encoder(path, True, REMEMBER), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in text_slices(whole, most_bytes=12 << 20):
+            for batch in text_slices(whole, most_bytes=4 << 20):
                 ids, at = enc.encode_with_end(batch.column("text"))
                 raw, lens = memoryview(ids.astype("<u4").tobytes()), np.diff(at)
                 n = -(-lens // capacity)

@@ -66,6 +66,18 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: worker processes live on between stages and share their executor's limit."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

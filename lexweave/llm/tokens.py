@@ -119,11 +119,11 @@ class PieceEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool, remember: int = 400_000) -> PieceEncoder:
     """One encoder for each worker process, kept from task to task."""
-    key = (path, keeps_space)
+    key = (path, keeps_space, remember)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, keeps_space)
+        _ENCODERS[key] = PieceEncoder(path, keeps_space, remember)
     return _ENCODERS[key]
 
 
