@@ -1,7 +1,6 @@
 """The operators' kernels without Spark: against brute force, round trips and bounds."""
 
 import random
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ def test_remembered_pieces_give_the_ids_of_whole_texts(name, keeps):
 
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(1)
-    docs = [rng.integers(0, 40, n).astype(np.uint32) for n in (0, 1, 5000, 3, 800)] + [np.zeros(999, np.uint32)]
+    docs = [rng.integers(0, 6, n).astype(np.uint32) for n in (0, 1, 5000, 3, 800)] + [np.zeros(999, np.uint32)]
     docs = [np.append(d, 2).astype(np.uint32) for d in docs]
     ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs]) - 1
     symbols, last, rules = token_output.repair(ids, ends)
@@ -170,4 +169,3 @@ def test_quality_separates_and_has_a_prior():
     assert model.score([b"some other plain words", b"*** %%% ### junk &&&"]).round().tolist() == [1, 0]
     assert model.score([b"", b" \n"]).tolist() == [0.5, 0.5]
     assert quality.LatentVote(np.zeros((0, 4)), np.zeros(0)).score([b"x"]).tolist() == [0.5]
-    assert zlib.crc32(b"7") % 5 == 2
