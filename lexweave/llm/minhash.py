@@ -4,7 +4,8 @@
    signature, and the signature's band keys. Equal sets form a class; only its smallest document goes on.
 2. Band keys met twice are buckets. Pivot rounds: the members of a bucket meet one of them (the smallest, then others
    at random), and pairs are verified on the full sets. Verified links give components.
-3. In buckets that still hold several components, all pairs across components are compared. So no pair of a bucket goes
+3. In buckets that still hold several components, all pairs across components are compared, each in the first bucket
+   that both are in and not once in every such bucket. So no pair of a bucket goes
    uncompared unless it is known to be in one component, and a bucket of thousands of near copies costs pairs in its
    number of members. Before the full sets, sizes and one-bit sketches (a bit of each signature value) rule pairs out
    that cannot reach the similarity; at 0.75 a sketch is wrong for one pair in three million.
@@ -25,7 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import as_bytes, components, drop_written, mix64, text_slices, word_hashes, words, written
@@ -209,7 +210,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: in
         order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
         pivot = left.groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch", "component"), order).alias("p")).select("key", "p.*")
         links, groups = _joined(left, pivot, sets, share, bands * rows, links, f"pivot-{turn}")
-    left = _mixed(buckets, groups)
+    left = _with_keys(_mixed(buckets, groups))
     links, groups = _joined(left, left.where("true"), sets, share, bands * rows, links, "rest", ordered=True)
     if twice_named:
         twice = some.join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.col("doc_id").alias("c"))
@@ -230,10 +231,16 @@ def _mixed(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
     return told.join(apart, "key", "left_semi")
 
 
+def _with_keys(left: DataFrame) -> DataFrame:
+    """Each row with all keys of its id, as many as there are bands at most. A pair of two components meets in mixed buckets only, so these suffice to name the first one."""
+    return left.withColumn("keys", F.array_distinct(F.collect_list("key").over(Window.partitionBy("id"))))
+
+
 def _joined(left: DataFrame, right: DataFrame, sets: DataFrame, share: int, m: int, links: DataFrame | None, name: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verify the pairs of left and right rows of a bucket that may link; all links so far, and their components."""
     on = (F.col("l.key") == F.col("r.key")) & _may_link(share, m)
-    on = on & (F.col("l.id") < F.col("r.id")) if ordered else on
+    if ordered:
+        on = on & (F.col("l.id") < F.col("r.id")) & (F.col("l.key") == F.array_min(F.array_intersect("l.keys", "r.keys")))
     pairs = left.alias("l").join(right.alias("r"), on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     found = written(_verified(pairs, sets, share), f"links-{name}")
     links = found if links is None else links.unionByName(found)
