@@ -165,10 +165,15 @@ def _apply(keep_text: bool, names: list[str]):
     return run
 
 
+def _bitmap_side(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """The bitmaps as a join side. They grow with the documents, so the join is a merge join at every size and never a broadcast."""
+    return keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("bitmap", "__bitmap").hint("merge")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text that stays, and n_lines and n_dropped."""
     names = docs.columns
-    joined = docs.join(keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("bitmap", "__bitmap"), "doc_id", "left").select(*names, "__bitmap")
+    joined = docs.join(_bitmap_side(docs, min_chars, min_docs), "doc_id", "left").select(*names, "__bitmap")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_apply(True, names), f"{kinds}, n_lines long, n_dropped long")
 
@@ -176,5 +181,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
     own = docs.select("doc_id", "text")
-    joined = own.join(keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("bitmap", "__bitmap"), "doc_id", "left")
+    joined = own.join(_bitmap_side(docs, min_chars, min_docs), "doc_id", "left")
     return joined.mapInArrow(_apply(False, []), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
