@@ -4,12 +4,15 @@
    signature, and the signature's band keys. Equal sets form a class; only its smallest document goes on.
 2. Band keys met twice are buckets. Pivot rounds: the members of a bucket meet one of them (the smallest, then others
    at random), and pairs are verified on the full sets. Verified links give components.
-3. In buckets that still hold several components, all pairs across components are compared, each in the first bucket
-   that both are in and not once in every such bucket. So no pair of a bucket goes
-   uncompared unless it is known to be in one component, and a bucket of thousands of near copies costs pairs in its
-   number of members. Before the full sets, sizes and one-bit sketches (a bit of each signature value) rule pairs out
-   that cannot reach the similarity; at 0.75 a sketch is wrong for one pair in three million.
-4. Components (union by smallest id); classes give their members their component.
+3. In buckets of up to SMALL members that still hold several components, all pairs across components are compared, each
+   in the first such bucket that both are in. So a row meets at most SMALL others in a bucket. Before the full sets,
+   sizes and one-bit sketches (a bit of each signature value) rule pairs out that cannot reach the similarity; at 0.75 a
+   sketch is wrong for one pair in three million.
+4. Members of larger buckets that are still apart (documents around one frequent passage, say) do not meet all of each
+   other: their full sets go through a prefix join, which is exact. Shingles are ordered rare first; two sets of the
+   similarity share one among the first quarter of the larger and the first seventh of the smaller (both shares follow
+   from 0.75), and their positions there bound the overlap. A frequent passage stands at the end of that order.
+5. Components (union by smallest id); classes give their members their component.
 
 Banding: 48 bands of 5 rows miss a pair at similarity 0.75 with probability (1 - 0.75^5)^48 = 2.3e-6.
 
@@ -34,6 +37,8 @@ from .shared import as_bytes, components, drop_written, mix64, text_slices, word
 SHINGLE, SHARE = 5, 75
 BANDS, ROWS = 48, 5
 PIVOT_ROUNDS = 2
+SMALL = 32
+_COUNTERS = 1 << 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -210,8 +215,12 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: in
         order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
         pivot = left.groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch", "component"), order).alias("p")).select("key", "p.*")
         links, groups = _joined(left, pivot, sets, share, bands * rows, links, f"pivot-{turn}")
-    left = _with_keys(_mixed(buckets, groups))
-    links, groups = _joined(left, left.where("true"), sets, share, bands * rows, links, "rest", ordered=True)
+    left = written(_mixed(buckets, groups), "apart")
+    large = left.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > SMALL).select("key")
+    few = _with_keys(left.join(large, "key", "left_anti"))
+    links, groups = _joined(few, few.where("true"), sets, share, bands * rows, links, "few", ordered=True)
+    many = left.join(large, "key", "left_semi").groupBy("id").agg(F.first("component").alias("component"))
+    links, groups = _prefix_joined(many, sets, share, links, groups)
     if twice_named:
         twice = some.join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.col("doc_id").alias("c"))
         twice = twice.select("a", "b").unionByName(twice.select("a", F.col("c").alias("b"))).where("a <> b")
@@ -247,6 +256,49 @@ def _joined(left: DataFrame, right: DataFrame, sets: DataFrame, share: int, m: i
     return links, written(components(links, f"near-{name}"), f"groups-{name}")
 
 
+def _prefixes(share: int, counts: np.ndarray):
+    """Rows (token, id, component, n, at, low) of each set's probing prefix, rare tokens first; low marks its indexing prefix.
+
+    The order is (count of the token's counter, token): one order for all sets, which is all that exactness asks for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, component, items in zip(batch.column("id").to_pylist(), batch.column("component").to_pylist(), batch.column("items")):
+                tokens = items.values.to_numpy()
+                n = len(tokens)
+                order = np.lexsort((tokens, counts[tokens & (_COUNTERS - 1)]))
+                probe, index = n - -(-share * n // 100) + 1, n - -(-2 * share * n // (100 + share)) + 1
+                at = np.arange(probe)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[order[:probe]]), *(pa.array(np.full(probe, x, np.int64)) for x in (doc, component, n)), pa.array(at), pa.array(at < index)],
+                    names=["token", "id", "component", "n", "at", "low"],
+                )
+
+    return run
+
+
+def _prefix_joined(members: DataFrame, sets: DataFrame, share: int, links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verify all pairs of members (id, component) across components that a prefix join leaves possible."""
+    own = written(members.join(sets, "id"), "prefix-sets")
+    if own.isEmpty():
+        return links, groups
+    counts = np.zeros(_COUNTERS, np.int64)  # a table of fixed size
+    for counter, many in own.select(F.explode("items").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(_COUNTERS - 1)).alias("counter")).count().collect():
+        counts[counter] = many
+    prefixes = own.select("id", "component", "items").mapInArrow(_prefixes(share, counts), "token long, id long, component long, n long, at long, low boolean")
+    prefixes = written(prefixes, "prefixes")
+    useful = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("low").alias("any")).where("any and x <> y").select("token")
+    rows = prefixes.join(useful, "token", "left_semi")
+    left, right = rows.where("low").alias("l"), rows.alias("r")
+    after = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
+    bound = (100 + share) * F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= share * (F.col("l.n") + F.col("r.n"))
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & after & bound & (100 * F.col("l.n") >= share * F.col("r.n"))
+    pairs = left.join(right, on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    links = links.unionByName(written(_verified(pairs, own, share), "links-many"))
+    return links, written(components(links, "near-many"), "groups-many")
+
+
 def _repeats(scan: DataFrame) -> bool:
     """Whether any doc_id stands in several rows."""
     return not scan.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
