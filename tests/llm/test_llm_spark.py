@@ -11,7 +11,7 @@ from lexweave.llm.additive_ann import search
 from lexweave.llm.chat import conversation_records, format_records, read_back
 from lexweave.llm.hmm import score_documents
 from lexweave.llm.line_dedup import line_report
-from lexweave.llm.minhash import near_groups
+from lexweave.llm.minhash import _prefix_joined, near_groups, shingle_sets
 from lexweave.llm.mixing import mix
 from lexweave.llm.packing import pack
 from lexweave.llm.pq_dedup import near_vectors
@@ -52,6 +52,39 @@ def test_near_documents(docs, empty):
     assert near_groups(empty).count() == 0
 
 
+def _around_a_passage(own: int):
+    """Texts around one frequent passage, each with words of its own, some of them changed a little: similar at about the threshold."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        tail = [f"o{i // 3 if i % 5 == 0 else i}-{j}" for j in range(own + i % 7)]
+        texts.append(" ".join([*passage[: 60 - i % 4], *tail]))
+    return texts
+
+
+def _links(texts):
+    sets = [set(s.tolist()) for s in shingle_sets([t.encode() for t in texts])]
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("own", [4, 9, 30])
+def test_members_of_a_large_bucket_meet_exactly(spark, own):
+    texts = _around_a_passage(own)
+    sets = [s.astype("int64").tolist() for s in shingle_sets([t.encode() for t in texts])]
+    members = spark.createDataFrame([(i, i) for i in range(len(texts))], "id long, component long")
+    found, groups = _prefix_joined(members, spark.createDataFrame(list(enumerate(sets)), "id long, items array<long>"), 75, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long"))
+    links = _links(texts)
+    assert {(r.a, r.b) for r in found.collect()} == links
+    if links:  # each id's component is the smallest id it reaches
+        root = {i: i for pair in links for i in pair}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert {r.id: r.component for r in groups.collect()} == {i: c for i, c in root.items() if i != c}  # the smallest needs no row
+        whole = {r.doc_id: r.component_id for r in near_groups(_docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+        assert whole == {i: root.get(i, i) for i in range(len(texts))}
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i < 10), 0) for i in (0, 1, 2, 3, 4, 5, 10, 11, 12, 17)] + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality_scores(docs, labels).collect()
