@@ -278,13 +278,22 @@ def _prefixes(share: int, counts: np.ndarray):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens by counter, summed within the task before any row leaves it."""
+    total = np.zeros(_COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column("items").flatten().to_numpy() & (_COUNTERS - 1), minlength=_COUNTERS)
+    met = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["counter", "many"])
+
+
 def _prefix_joined(members: DataFrame, sets: DataFrame, share: int, links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verify all pairs of members (id, component) across components that a prefix join leaves possible."""
     own = written(members.join(sets, "id"), "prefix-sets")
     if own.isEmpty():
         return links, groups
     counts = np.zeros(_COUNTERS, np.int64)  # a table of fixed size
-    for counter, many in own.select(F.explode("items").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(_COUNTERS - 1)).alias("counter")).count().collect():
+    for counter, many in own.select("items").mapInArrow(_counted, "counter long, many long").groupBy("counter").agg(F.sum("many")).collect():
         counts[counter] = many
     prefixes = own.select("id", "component", "items").mapInArrow(_prefixes(share, counts), "token long, id long, component long, n long, at long, low boolean")
     prefixes = written(prefixes, "prefixes")
