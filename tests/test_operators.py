@@ -40,6 +40,30 @@ def test_text_is_conserved_by_the_fold(spark):
     assert sorted(said) == sorted("Head text alpha one continued beta two Sub. by Act No. 5 tail".split())
 
 
+def test_tables_are_conserved_by_the_fold(spark):
+    block = ["TABLE", "|No|Head|", "|---|---|", "|1.|pipe one|", "||more|", "1.  loose   5%", "Explanation 1.— inside", "<tr><td>9.</td></tr>", "2. next row", "**Part**"]
+    rows = fold.parsed(_fold_lines(spark, [*DOC, *block, "(3) three", "3.", "late row", "6. (1) six", "TABLE", "|(a)|x|", "|(b)|y|", "|(c)|z|"])).orderBy("place").collect()
+    found = {r.unit_id: (r.kind, r.number, r.parent_id, r.text_before) for r in rows if r.kind.startswith("table")}
+    assert found == {
+        "5-2-table-1": ("table", None, "5-2", "No|Head"),
+        "5-2-table-1-row-1": ("table_row", "1", "5-2-table-1", "|pipe one more loose Explanation 1.— inside <tr><td>9.</td></tr>|5%"),
+        "5-2-table-1-row-2": ("table_row", "2", "5-2-table-1", "|next row **Part**"),
+        "5-2-table-1-row-3": ("table_row", "3", "5-2-table-1", "late row"),
+        "6-1-table-1": ("table", None, "6-1", "(a)|x"),
+        "6-1-table-1-row-1": ("table_row", "1", "6-1-table-1", "(b)|y"),
+        "6-1-table-1-row-2": ("table_row", "2", "6-1-table-1", "(c)|z"),
+    }
+    said = " ".join((r.text_before + " " + r.text_after).replace("|", " ") for r in rows).split()
+    assert sorted(said) == sorted("Head text alpha one continued beta two No Head pipe one more loose 5% Explanation 1.— inside <tr><td>9.</td></tr> next row **Part** three late row six (a) x (b) y (c) z".split())
+
+
+def test_a_section_ends_a_table_of_the_fold(spark):
+    lines = [(1, 1, i + 1, 0, None, bold, False, t) for i, (t, bold) in enumerate([("5. Head", False), ("TABLE", False), ("1. row", False), ("6. Title", False), ("TABLE", False), ("1. row", False), ("Seventh", True), ("7. text", False)])]
+    rows = fold.parsed(spark.createDataFrame(lines, _fold_lines(spark, ["x"]).schema)).orderBy("place").collect()
+    assert [(r.unit_id, r.title, r.text_before) for r in rows if r.kind == "unit"] == [("5", None, "Head"), ("6", None, "Title"), ("7", "Seventh", "text")]
+    assert [(r.parent_id, r.text_before) for r in rows if r.kind == "table_row"] == [("5-table-1", "|row"), ("6-table-1", "|row")]
+
+
 def test_nested_json_parses(spark):
     made = hierarchy.nested_json(hierarchy.units(_lines(spark, DOC))).first()
     tree = json.loads(made.json)["sections"]
