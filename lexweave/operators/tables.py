@@ -19,6 +19,11 @@ def regions(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.where("inside").where(~mark).drop("inside")
 
 
+def with_region(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every line, with a number for the stretch it lies in: a marker or a boundary starts one, so no two tables share it."""
+    return lines.withColumn("region", F.sum(F.when(is_table_marker() | starts_table_boundary(), 1).otherwise(0)).over(so_far(key)))
+
+
 def pipe_rows(lines: DataFrame, key: list[str]) -> DataFrame:
     """Cells of pipe lines: the item number, and the other cells; separator lines out."""
     rows = lines.where(is_pipe_line() & ~is_pipe_separator()).withColumn("cells", split_pipe_row("text"))
@@ -67,10 +72,17 @@ def html_cells(lines: DataFrame, key: list[str]) -> DataFrame:
 
 
 def merged_rows(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of two tables of one unit by item number: full outer, cells of both joined, nulls last in order."""
-    a = one.groupBy(*key, "item_no").agg(F.min_by("cells", "line_no").alias("left_cells"))
-    b = two.groupBy(*key, "item_no").agg(F.min_by("cells", "line_no").alias("right_cells"))
-    return a.join(b, [*key, "item_no"], "full_outer").select(*key, "item_no", merge_text(F.coalesce("left_cells", F.lit("")), F.coalesce("right_cells", F.lit(""))).alias("cells"))
+    """Rows of two tables by item number: full outer, cells of all rows of a number joined, those of one first, each in
+    order of lines. Rows without a number stay as they are. key has to name one table (``with_region``)."""
+
+    def by_number(rows: DataFrame, name: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("line_no", "cells")))
+        return rows.where("item_no is not null").groupBy(*key, "item_no").agg(F.array_join(F.transform(listed, lambda x: x["cells"]), " ").alias(name))
+
+    a, b = by_number(one, "left_cells"), by_number(two, "right_cells")
+    merged = a.join(b, [*key, "item_no"], "full_outer").select(*key, "item_no", merge_text(F.coalesce("left_cells", F.lit("")), F.coalesce("right_cells", F.lit(""))).alias("cells"))
+    rest = [rows.where("item_no is null").select(*key, "item_no", clean_text("cells").alias("cells")) for rows in (one, two)]
+    return merged.unionByName(rest[0]).unionByName(rest[1])
 
 
 def table_ids(tables: DataFrame, unit: str = "unit_id", key: str = "doc_id") -> DataFrame:

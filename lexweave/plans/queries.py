@@ -357,8 +357,8 @@ def q30_borderless_rows(spark, sf_dir):
 b AS (SELECT doc_id, {_ITEM.format(f"({_LOOSE})[1]")} AS item_no, arg_min(array_to_string({_LOOSE}, '|'), line_no) AS r FROM lines WHERE {_BORDERLESS} GROUP BY ALL)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item_no, b.item_no) AS item_no, {_CLEAN.format("coalesce(l, '') || ' ' || coalesce(r, '')")} AS cells FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.item_no = b.item_no""")
 def q31_merged_rows(spark, sf_dir):
-    units = _units(spark, sf_dir)
-    return tables.merged_rows(tables.pipe_rows(units, ["doc_id"]), tables.borderless_rows(units, ["doc_id"]), ["doc_id"])
+    units, key = tables.with_region(_units(spark, sf_dir)), ["doc_id", "region"]
+    return tables.merged_rows(tables.pipe_rows(units, key), tables.borderless_rows(units, key), key).drop("region")
 
 
 @query(f"""WITH {_L}, r AS (SELECT doc_id, line_no, {_ITEM.format(f"({_CELLS})[1]")} AS item_no, {_CELLS} AS c FROM lines WHERE {_PIPES}),

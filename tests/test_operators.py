@@ -114,6 +114,13 @@ def test_html_cells_and_spans(spark):
     assert [(r.col, r.cell) for r in rows] == [(0, "2."), (2, "From 1 to 2"), (3, "5%")]
 
 
+def test_merged_rows_keep_every_row(spark):
+    texts = ["TABLE", "|No|Head|", "|1.|a|", "||loose|", "|1.|b|", "1.  c   5%", "(2) two", "TABLE", "|1.|d|"]
+    key, at = ["doc_id", "region"], tables.with_region(_lines(spark, texts))
+    rows = tables.merged_rows(tables.pipe_rows(at, key), tables.borderless_rows(at, key), key).collect()
+    assert sorted((r.item_no or 0, r.cells) for r in rows) == [(0, "No|Head"), (0, "|loose"), (1, "1.|a 1.|b 1.|c|5%"), (1, "1.|d")]
+
+
 def test_anchors_and_depths(spark):
     at = spark.createDataFrame([(1, 10.0), (1, 12.0), (1, 100.0)], "page int, x double")
     assert layout.column_anchors(at, ["page"]).first().anchors == [11.0, 100.0]
