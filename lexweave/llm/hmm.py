@@ -7,8 +7,8 @@ probability, and unseen words have some.
 
 Training: word counts over all training documents (combined before the shuffle); then Baum-Welch over all of them:
 each task runs scaled forward-backward on its documents, and expected counts are summed by a group-by; what the driver
-gets is one number per state and symbol, a size fixed by parameters. Start values come from a few rounds on a bounded
-sample. Scoring: the scaled forward recursion gives the exact likelihood of each whole symbol sequence.
+gets is one number per state and symbol, a size fixed by parameters. Start values come from a few rounds of the same kind
+on a sample of whole documents of every length. Scoring: the scaled forward recursion gives the exact likelihood of each whole symbol sequence.
 
 The ``FREQUENT`` most frequent words are looked up in a table sent to every task (a fixed size); all other words meet
 their counts in a shuffled join, however many there are.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import as_bytes, crc_mod, text_slices, words, written
 
 STATES, OWN, CLASSES, FREQUENT = 8, 8192, 256, 65536
-SAMPLE, SAMPLE_LONGEST, SAMPLE_ROUNDS, ROUNDS = 400, 4096, 8, 2
+SAMPLE, SAMPLE_ROUNDS, ROUNDS = 400, 8, 2
 SYMBOLS = OWN + CLASSES + 1
 END = SYMBOLS - 1
 PRIOR = 50.0
@@ -261,14 +261,13 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds
     shares[END] += vocabulary.ends
     shares /= shares.sum()
     model = Model.initial(shares, states)
-    training = coded.where("not held_out").select("doc_id", "n_tokens", "symbols")
-    few = training.where(F.col("n_tokens") <= SAMPLE_LONGEST).orderBy(F.xxhash64("doc_id", "symbols")).limit(SAMPLE).select("symbols").toArrow()
-    sample = _sequences(few.column("symbols"))
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        _, *parts = forward(model, sample, counts=True)
-        model = model.refit(*parts, shares)
-    for _ in range(rounds if sample else 0):
-        sums = training.select("symbols").mapInArrow(_expect(model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    training = coded.where("not held_out")
+    few = training.select("row", F.xxhash64("doc_id", "symbols").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    if not few:
+        return model
+    sample = written(training.where(F.col("row").isin([r["row"] for r in few])).select("symbols"), "start-sample")
+    for documents in [sample] * SAMPLE_ROUNDS + [training.select("symbols")] * rounds:
+        sums = documents.mapInArrow(_expect(model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
         flat = np.zeros(states + states**2 + states * SYMBOLS)
         flat[np.asarray(sums.column("place"))] = np.asarray(sums.column("value"))
         a, b = states, states + states**2

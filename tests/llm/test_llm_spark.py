@@ -131,6 +131,15 @@ def test_language_model(docs, empty):
     assert score_documents(empty).count() == 0
 
 
+def test_language_model_learns_from_long_documents(spark, monkeypatch):
+    long = _docs(spark, [(i, " ".join(f"w{(i * j) % 40}" for j in range(5000)), "a") for i in range(1, 7)])
+    score = lambda rounds: sum(r.score for r in score_documents(long, rounds=rounds).where("not held_out").collect())
+    started = score(0)
+    monkeypatch.setattr("lexweave.llm.hmm.SAMPLE_ROUNDS", 0)
+    raw = score(0)
+    assert started > raw and score(1) > raw
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 1, "assistant", "b<|im_end|>", 0), (1, 0, "user", None, 0), (2, None, None, "x", 0), (2, 1, "assistant", "y", 0), (2, 1, "assistant", "y", 0), (None, 0, "user", "z", 0)], "conv_id long, turn long, role string, text string, record int")
     rows = {r.conv_id: r for r in read_back(format_records(conversation_records(turns))).collect()}
