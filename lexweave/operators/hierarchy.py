@@ -15,6 +15,7 @@ from .lines import line_class, so_far
 
 LEVELS = ("chapter", "section", "subsection", "clause", "sub_clause", "item", "sub_item")
 SPECIAL = ("explanation", "proviso", "illustration")
+NO_UNIT_TEXT = ("table_marker", "pipe_row", "html_row", "borderless_row", "footnote", "blank", "page", "banner")
 
 
 def token_kind(token: Column, before: Column | None = None, item_open: Column | None = None) -> Column:
@@ -79,7 +80,7 @@ def units(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
     text_before is the text until the first child opens, text_after what follows its children.
     """
-    opened = with_ids(open_path(token_rows(lines, key), key)).where("cls not in ('table_marker', 'pipe_row', 'html_row', 'borderless_row', 'footnote', 'blank', 'page', 'banner')")
+    opened = with_ids(open_path(token_rows(lines, key), key)).where(~F.col("cls").isin(*NO_UNIT_TEXT))
     w = so_far(key, line="place")
     # the unit a row belongs to is the last opened one; text after a deeper unit closed does not exist without indents
     own = opened.withColumn("unit_place", F.max(F.when(F.col("level").isNotNull(), F.col("place"))).over(w)).where("unit_place is not null")

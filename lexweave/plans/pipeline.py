@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.text import clean_text
 from ..operators import hierarchy, mentions
+from ..operators.lines import reading_order, so_far
 from .hooks import Hook, ModelConfig, apply_hook
 
 
@@ -17,10 +19,27 @@ def open_texts(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", "text").join(last, ["doc_id", "line_no"])
 
 
+def whole_texts(lines: DataFrame) -> DataFrame:
+    """(doc_id, place, line_no, source_type, unit_id, section_id, subsection_id, text): the joined text of each unit, and
+    singly, with their class as source_type, the lines that are no unit's text (tables, footnotes, explanations, orphans)."""
+    rows = hierarchy.with_ids(hierarchy.open_path(hierarchy.token_rows(lines)))
+    opened = F.max(F.when(F.col("level").isNotNull(), F.col("place"))).over(so_far("doc_id", line="place"))
+    speaks = F.coalesce(F.lead("line_no").over(reading_order("doc_id", line="place")) != F.col("line_no"), F.lit(True))  # the last unit of a line has its text
+    single = F.col("opened").isNull() | F.col("cls").isin(*hierarchy.NO_UNIT_TEXT, *hierarchy.SPECIAL)
+    rows = rows.withColumn("opened", opened).withColumn("said", F.when(speaks, F.struct("place", "rest")))
+    rows = rows.withColumn("at", F.when(single, F.col("place")).otherwise(F.col("opened")))
+    head = F.min_by(F.struct("line_no", F.coalesce("level", "cls").alias("source_type"), "unit_id", "section_id", "subsection_id"), "place")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("said")), lambda x: x["rest"]), " ")
+    return rows.groupBy("doc_id", "at").agg(head.alias("head"), clean_text(text).alias("text")).select("doc_id", F.col("at").alias("place"), "head.*", "text")
+
+
 def enriched(texts: DataFrame, units: DataFrame, parity: bool = False, by_document: bool = False) -> DataFrame:
-    """Located references of texts, resolved against units."""
-    key = ["doc_id", "line_no"]
-    spans = mentions.uncontained(mentions.located_spans(texts, [*key, "unit_id", "section_id", "subsection_id"], parity), key)
+    """Located references of whole_texts, resolved against units; start and end are places in the joined text.
+
+    The reference looks at sections, subsections and clauses only: those are the rows of these source_types.
+    """
+    key = ["doc_id", "place"]
+    spans = mentions.uncontained(mentions.located_spans(texts, [*key, "line_no", "source_type", "unit_id", "section_id", "subsection_id"], parity), key)
     refs = mentions.resolved(spans, parity=parity).withColumn("relationship", mentions.window90())
     reason = F.when(F.col("target_id").isNull(), "no open unit")
     out = mentions.with_confidence(refs.withColumn("reason", reason), units, by_document)

@@ -612,7 +612,7 @@ def q57_agent_pipeline(spark, sf_dir):
 @query()
 def q58_enriched(spark, sf_dir):
     units = _units(spark, sf_dir)
-    return pipeline.enriched(pipeline.open_texts(units), hierarchy.units(units)).drop("text")
+    return pipeline.enriched(pipeline.whole_texts(units), hierarchy.units(units)).drop("text")
 
 
 @query(rf"""WITH {_L}, m AS (SELECT *, sum(CASE WHEN upper(regexp_replace(text, '[|*_\s]', '', 'g')) = 'TABLE' THEN 1 ELSE 0 END) OVER w AS region,

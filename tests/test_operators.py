@@ -88,6 +88,18 @@ def test_containment_and_targets(spark):
     assert "NestedLoop" not in plan
 
 
+def test_references_across_a_line_break(spark):
+    from lexweave.plans import pipeline
+
+    texts = ["see section 3", "5. (1) Income in accordance with section", "12(1) of this Act", "(i) notwithstanding", "section 6", "Explanation 1.— section 7", "|1.|section 8|"]
+    rows = _lines(spark, texts)
+    found = pipeline.enriched(pipeline.whole_texts(rows), hierarchy.units(rows)).orderBy("place").collect()
+    assert [(r.line_no, r.source_type, r.unit_id, r.target_id, r.relationship) for r in found] == [
+        (1, "text", None, "3", "related_to"), (2, "subsection", "5-1", "12-1", "procedure_reference"), (4, "sub_clause", "5-1-i", "6", "overrides"),
+        (6, "explanation", "5-1-i", "7", "related_to"), (7, "pipe_row", "5-1-i", "8", "related_to"),
+    ]
+
+
 def test_edges_leave_out_other_acts_and_subsections(spark):
     units = spark.createDataFrame([(205, "section 205(1) and sections 146 or 150, section 135 of the Companies Act, 2013")], "doc_id int, text string")
     assert {r.dst for r in mentions.outgoing_edges(units).collect()} == {"146", "150"}
