@@ -32,9 +32,17 @@ def pipe_rows(lines: DataFrame, key: list[str]) -> DataFrame:
 
 
 def with_continuations(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows without a number are joined, cell by cell, to the numbered row before; rows before any number are the header."""
-    w = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    s = rows.withColumn("session", F.sum(F.when(F.col("item_no").isNotNull(), 1).otherwise(0)).over(w))
+    """Rows without a number are joined, cell by cell, to the numbered row before; rows before any number are the header.
+
+    In a table without any number the first row is the header, and the others that say something are numbered in sequence.
+    key has to name one table (``with_region``).
+    """
+    of = Window.partitionBy(*key)
+    w = of.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(of.orderBy("line_no")) == 1
+    s = rows.withColumn("own", F.max(F.col("item_no").isNotNull()).over(of)).withColumn("first", first).where("own or first or trim(replace(cells, '|', '')) <> ''")
+    starts = F.when(F.col("own"), F.col("item_no").isNotNull()).otherwise(~F.col("first"))
+    s = s.withColumn("session", F.sum(F.when(starts, 1).otherwise(0)).over(w)).withColumn("item_no", F.when(F.col("own"), F.col("item_no")).when(F.col("session") > 0, F.col("session").cast("int")))
     cells = s.select(*key, "session", "line_no", F.posexplode(F.split("cells", r"\|", -1)).alias("col", "cell"))
     joined = cells.groupBy(*key, "session", "col").agg(clean_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cell"))), lambda x: x["cell"]), " ")).alias("cell"))
     rebuilt = joined.groupBy(*key, "session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "cell"))), lambda x: x["cell"]), "|").alias("cells"))

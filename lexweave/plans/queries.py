@@ -653,5 +653,6 @@ def q64_displaced_rows(spark, sf_dir):
 
 @query()
 def q65_row_continuations(spark, sf_dir):
-    rows = tables.pipe_rows(_units(spark, sf_dir), ["doc_id"]).unionByName(tables.borderless_rows(_units(spark, sf_dir), ["doc_id"]).withColumn("item_no", F.lit(None).cast("int")))
-    return tables.with_continuations(rows, ["doc_id"])
+    units, key = tables.with_region(_units(spark, sf_dir)), ["doc_id", "region"]
+    rows = tables.pipe_rows(units, key).unionByName(tables.borderless_rows(units, key).withColumn("item_no", F.lit(None).cast("int")))
+    return tables.with_continuations(rows, key)

@@ -133,6 +133,15 @@ def test_merged_rows_keep_every_row(spark):
     assert sorted((r.item_no or 0, r.cells) for r in rows) == [(0, "No|Head"), (0, "|loose"), (1, "1.|a 1.|b 1.|c|5%"), (1, "1.|d")]
 
 
+def test_row_continuations_stay_in_their_table(spark):
+    texts = ["TABLE", "|No|Head|", "|1.|one|", "||more|", "TABLE", "|(x)|Head|", "|(a)|alpha|", "||", "|(b)|beta|"]
+    key, at = ["doc_id", "region"], tables.with_region(_lines(spark, texts))
+    rows = tables.with_continuations(tables.pipe_rows(at, key), key).orderBy("region", "session").collect()
+    assert [(r.region, r.item_no, r.cells, r.is_header) for r in rows] == [
+        (1, None, "No|Head", True), (1, 1, "1.|one more", False), (2, None, "(x)|Head", True), (2, 1, "(a)|alpha", False), (2, 2, "(b)|beta", False),
+    ]
+
+
 def test_anchors_and_depths(spark):
     at = spark.createDataFrame([(1, 10.0), (1, 12.0), (1, 100.0)], "page int, x double")
     assert layout.column_anchors(at, ["page"]).first().anchors == [11.0, 100.0]
