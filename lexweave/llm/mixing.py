@@ -8,13 +8,19 @@ comparison. A hot source is summed map-side first, so it is no hot task.
 
 Thresholds are nested: a larger budget takes a superset. The hash comes from doc_id alone, so reruns agree.
 
-Defined cases: a null or empty text has size 0 and is taken 0 words of; a source without words has target 0; a null
-source is a source of its own, last in order; rows that repeat a doc_id share its hash and are taken or left together;
-an empty table gives an empty mix.
+Tables with a row a source are joined without a broadcast hint: Spark broadcasts them while their files are below its
+threshold and merges beyond it. Their windows (order of sources, water level) hold a row a source in one task.
+
+Defined cases: a null or empty text has size 0 and is taken 0 words of; a source without words has target 0 and its
+rows are not taken; a null source is a source of its own, last in order; rows that repeat a doc_id share its hash and
+are taken or left together, so a budget can be missed by all of their words; a very long text counts with all its words
+and is taken whole or not; an empty table gives an empty mix; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +47,8 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weight
 
     With ceilings c = most * size and ratio c / weight ascending, the first k sources stand at their ceilings and the
     others at weight * (budget - their ceilings) / (other weights), for the least k at which none is above: the fixed
-    point of resharing the excess. One row a source, so the windows hold the list of sources and no documents.
+    point of resharing the excess. That level only falls as k grows, so the least k has the largest of the levels at
+    which none is above. One row a source, so the windows hold the list of sources and no documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -52,7 +59,7 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weight
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("capped", F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))).withColumn("used", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     s = s.withColumn("level", (share * F.sum("source_size").over(everything) - F.col("capped")) / (F.sum("weight").over(everything) - F.col("used")))
-    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+    s = s.withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     return s.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("ceiling", F.col("weight") * F.coalesce("water", "ratio"))).alias("target"))
 
 
@@ -66,7 +73,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     for bits in LEVEL_BITS:
         shift -= bits
         step = 1 << shift
-        s, f = sized.alias("s"), F.broadcast(found).alias("f")  # a row a source
+        s, f = sized.alias("s"), found.alias("f")
         inside = F.shiftright("s.hash", shift + bits) == F.shiftright("f.prefix", shift + bits)
         bars = (
             s.join(f, F.col("s.source").eqNullSafe(F.col("f.source")) & inside)
@@ -82,26 +89,33 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return found.select("source", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each row."""
+def _plan(docs: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash) of each row, and (source, source_size, target, base, threshold) of each source."""
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
-    goals = sources.where("source_size > 0").select("source", F.floor(F.col("target") / F.col("source_size")).alias("base"), "source_size", "target")
-    goals = goals.select("source", (F.col("target") - F.col("base") * F.col("source_size")).alias("extra")).where("extra > 0")
-    cuts = written(thresholds(sized, goals), "thresholds")
-    known = sources.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", "c.threshold")
-    d, k = sized.alias("d"), F.broadcast(known).alias("k")  # a row a source
-    base = F.coalesce(F.floor(F.col("k.target") / F.when(F.col("k.source_size") > 0, F.col("k.source_size"))), F.lit(0))
-    copies = (base + F.when(F.col("d.hash") <= F.col("k.threshold"), 1).otherwise(0)).cast("int")
-    return d.join(k, F.col("d.source").eqNullSafe(F.col("k.source"))).select(
-        "d.doc_id", "d.source", "d.size", "k.source_size", "k.target", copies.alias("copies"), (F.col("d.size") * copies).alias("taken"), "d.hash", "k.threshold", base.alias("base")
-    )
-
-
-def mixed_documents(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
+    base = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
+    goals = sources.where("source_size > 0").select("source", (F.col("target") - base * F.col("source_size")).alias("extra")).where("extra > 0")
+    cuts = thresholds(sized, goals)
+    known = sources.withColumn("base", base).alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", "c.threshold")
+    return sized, written(known, "mix-plan")
+
+
+def _copies(hashed: Column) -> Column:
+    return (F.col("k.base") + F.when(hashed <= F.col("k.threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of each row."""
+    sized, known = _plan(docs, share, most, weights)
+    d, k = sized.alias("d"), known.alias("k")
+    rows = d.join(k, F.col("d.source").eqNullSafe(F.col("k.source"))).withColumn("copies", _copies(F.col("d.hash")))
+    return rows.select("d.doc_id", "d.source", "d.size", "k.source_size", "k.target", "copies", (F.col("d.size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """docs' rows, each as often as the mix takes it."""
-    plan = mix(docs, share, most).select("source", "target", "source_size", "threshold", "base").distinct()
-    d, k = docs.alias("d"), F.broadcast(plan).alias("k")  # a row a source
-    copies = F.col("k.base") + F.when(doc_hash(F.col("d.doc_id")) <= F.col("k.threshold"), 1).otherwise(0)
+    d, k = docs.alias("d"), _plan(docs, share, most, weights)[1].alias("k")
+    copies = _copies(doc_hash(F.col("d.doc_id")))
     rows = d.join(k, F.col("d.source").eqNullSafe(F.col("k.source"))).where(copies > 0)
-    return rows.select("d.*", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
+    turn = "copy_" + uuid4().hex
+    return rows.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias(turn)).drop(turn)

@@ -103,17 +103,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 OP5 = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/mix'), 1, 15))::BIGINT AS hash FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM sized GROUP BY source),
-ratios AS (SELECT *, 2.0::DOUBLE * source_size AS ceiling, 2.0::DOUBLE * source_size / weight AS ratio FROM sources),
-levels AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
-  FROM ratios WINDOW w AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-goals AS (
-  SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(ceiling, weight * coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), ratio)) END::DOUBLE AS target FROM levels),
+-- Cap, reshare, repeat: all sources share by weight; those above their ceiling stand at it and the rest is shared anew.
+water AS (
+  SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) AS level FROM sources
+  UNION ALL
+  SELECT (1.5::DOUBLE * sum(s.source_size) - sum(CASE WHEN 2.0 * s.source_size < s.weight * w.level THEN 2.0 * s.source_size ELSE 0.0 END))
+    / sum(CASE WHEN 2.0 * s.source_size < s.weight * w.level THEN 0.0 ELSE s.weight END) AS level
+  FROM water w, sources s GROUP BY w.level
+  HAVING (1.5::DOUBLE * sum(s.source_size) - sum(CASE WHEN 2.0 * s.source_size < s.weight * w.level THEN 2.0 * s.source_size ELSE 0.0 END))
+    / sum(CASE WHEN 2.0 * s.source_size < s.weight * w.level THEN 0.0 ELSE s.weight END) > w.level),
+goals AS (SELECT s.source, s.source_size, least(2.0::DOUBLE * s.source_size, s.weight * (SELECT max(level) FROM water))::DOUBLE AS target FROM sources s),
 budgets AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM goals),
 same AS (SELECT source, hash, sum(size) AS words FROM sized GROUP BY source, hash),
 upto AS (SELECT source, hash, words, sum(words) OVER (PARTITION BY source ORDER BY hash) AS total FROM same),
