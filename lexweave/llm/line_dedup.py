@@ -8,7 +8,9 @@ documents is one compressed keep bitmap for each document that loses lines; text
 
 Defined cases: a null or empty text is one empty line; keys shorter than the limit are never dropped; a line repeated
 inside one document counts that document once; rows that repeat a doc_id count as one document and share its losses by
-position; rows with a null doc_id are kept whole and count for nothing; columns besides doc_id and text are ignored.
+position; rows with a null doc_id are kept whole and count for nothing; a very long text is split in a batch of its own,
+and its line places in a bitmap of a bit a line; other columns are carried along by dedup_lines and ignored otherwise;
+where one of them is called n_lines or n_dropped, that count's name gets an underscore; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, as_bytes, drop_written, partitions, text_slices, written
+from .shared import ASCII_SPACE, as_bytes, drop_written, free_name, partitions, text_slices, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _SPACE = ASCII_SPACE.encode()
@@ -113,6 +115,11 @@ def _pack(places: list[int]) -> bytes:
     return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 6)
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_pack, batch.column("places").to_pylist()), pa.binary())], names=["doc_id", "bitmap"])
+
+
 def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[list[bytes], int]:
     """Lines that stay and how many there were."""
     lines = text.split(b"\n")
@@ -132,54 +139,58 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "pos")
     told = written(ranged.mapInArrow(_stream(min_docs), "kind byte, k1 long, k2 long, doc_id long, pos int, n long"), "line-decisions")
     drop_written(lines)
-    # Runs cut by a partition edge: at most two a partition, each with its summary; all other rows are settled.
+    # Runs cut by a partition edge: two a partition at most, each with its summary; all other rows are settled.
     runs = told.where("kind = 2").groupBy("k1", "k2").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("survivor"))
     losing = (
         told.where("kind = 1")
-        .join(runs, ["k1", "k2"], "left")
+        .join(F.broadcast(runs), ["k1", "k2"], "left")
         .where(F.when(F.col("docs").isNull(), F.lit(True)).otherwise(F.col("docs") >= min_docs))
         .where(F.col("doc_id") < F.coalesce("survivor", "n"))
     )
-    pack = F.udf(_pack, "binary")
-    return losing.groupBy("doc_id").agg(pack(F.collect_set("pos")).alias("bitmap"))
+    places = losing.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # a document's own lines
+    return places.mapInArrow(_bitmaps, "doc_id long, bitmap binary")
 
 
-def _apply(keep_text: bool, names: list[str]):
+def _apply(keep_text: bool, names: list[str], bitmap_name: str, counts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
                 n, lost, kept = [], [], []
                 nulls = batch.column("text").is_null().to_pylist()
-                for text, bitmap, null in zip(as_bytes(batch.column("text")), batch.column("__bitmap").to_pylist(), nulls):
+                for text, bitmap, null in zip(as_bytes(batch.column("text")), batch.column(bitmap_name).to_pylist(), nulls):
                     lines, count = kept_lines(text, bitmap)
                     n.append(count)
                     lost.append(count - len(lines))
                     left = b"\n".join(lines)
                     kept.append((None if null else left) if keep_text else hashlib.sha256(left).hexdigest())
-                if keep_text:
-                    cut = pa.array(kept, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([cut if c == "text" else batch.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+                cut = pa.array(kept, pa.binary()).cast(pa.string()) if keep_text else pa.array(kept, pa.string())
+                own = [cut if c == "text" else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), *([] if keep_text else [cut])], names=[*names, *counts])
 
     return run
 
 
-def _bitmap_side(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """The bitmaps as a join side. They grow with the documents, so the join is a merge join at every size and never a broadcast."""
-    return keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("bitmap", "__bitmap").hint("merge")
+def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
+    """docs with each document's bitmap. Bitmaps grow with the documents, so this is a merge join at every size and never a broadcast."""
+    own, name = free_name("doc_id_of_bitmap", docs.columns), free_name("bitmap", docs.columns)
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(own), F.col("bitmap").alias(name)).hint("merge")
+    return docs.join(maps, docs["doc_id"] == F.col(own), "left").drop(own), name
+
+
+def count_names(columns: list[str]) -> tuple[str, str]:
+    """What dedup_lines calls its two counts beside these columns."""
+    return free_name("n_lines", columns), free_name("n_dropped", columns)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the text that stays, and n_lines and n_dropped."""
-    names = docs.columns
-    joined = docs.join(_bitmap_side(docs, min_chars, min_docs), "doc_id", "left").select(*names, "__bitmap")
+    """docs with the text that stays, and the two counts of count_names()."""
+    names, counts = docs.columns, list(count_names(docs.columns))
+    joined, bitmap = _with_bitmaps(docs, min_chars, min_docs)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_apply(True, names), f"{kinds}, n_lines long, n_dropped long")
+    return joined.mapInArrow(_apply(True, names, bitmap, counts), f"{kinds}, {counts[0]} long, {counts[1]} long")
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
-    own = docs.select("doc_id", "text")
-    joined = own.join(_bitmap_side(docs, min_chars, min_docs), "doc_id", "left")
-    return joined.mapInArrow(_apply(False, []), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    joined, bitmap = _with_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
+    return joined.mapInArrow(_apply(False, ["doc_id"], bitmap, ["n_lines", "n_dropped", "kept_sha256"]), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

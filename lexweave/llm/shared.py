@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,16 +20,28 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """This application's folder below the shared one that spark.checkpoint.dir names; where that is unset, a temporary one, on a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if named:
+        return f"{named.rstrip('/')}/lexweave-{app}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="lexweave-scratch-")
     return _LOCAL_SCRATCH[app]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators have written, once no plan reads their results any more."""
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -37,13 +50,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table made by written(), once no later plan reads them."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by written(), once no later plan reads them."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores behind it as long as a taken column is called so (Spark ignores case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+BLOCK = 1024
+
+
+def array_blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's array of sums as rows (block, values) of BLOCK numbers each; blocks of zeros are left out."""
+    at = [i for i in range(0, len(total), BLOCK) if total[i : i + BLOCK].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in at], pa.int32()), pa.array([total[i : i + BLOCK].astype("<f8").tobytes() for i in at], pa.binary())], names=["block", "values"])
+
+
+def summed(blocks: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' arrays of that size. Each block is summed as a stream, so a task holds one sum a block however many tasks there were; the driver gets size numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, values in zip(batch.column("block").to_pylist(), batch.column("values").to_pylist()):
+                new = np.frombuffer(values, "<f8")
+                held[block] = held[block] + new if block in held else new
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "values"])
+
+    many = max(1, min(partitions(blocks.sparkSession), -(-size // BLOCK)))
+    rows = blocks.repartition(many, "block").mapInArrow(run, "block int, values binary").toArrow()
+    out = np.zeros(size)
+    for block, values in zip(rows.column("block").to_pylist(), rows.column("values").to_pylist()):
+        new = np.frombuffer(values, "<f8")
+        out[block * BLOCK : block * BLOCK + len(new)] += new
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
