@@ -3,23 +3,22 @@
 1. One scan: each document's set of distinct word shingles (64-bit hashes), a 128-bit digest of the set, a SuperMinHash
    signature, and the signature's band keys. Equal sets form a class; only its smallest document goes on.
 2. Band keys met twice are buckets. Pivot rounds: the members of a bucket meet one of them (the smallest, then others
-   at random), and pairs are verified on the full sets. Verified links give components.
-3. In buckets of up to SMALL members that still hold several components, all pairs across components are compared, each
-   in the first such bucket that both are in. So a row meets at most SMALL others in a bucket. Before the full sets,
-   sizes and one-bit sketches (a bit of each signature value) rule pairs out that cannot reach the similarity; at 0.75 a
-   sketch is wrong for one pair in three million.
-4. Members of larger buckets that are still apart (documents around one frequent passage, say) do not meet all of each
-   other: their full sets go through a prefix join, which is exact. Shingles are ordered rare first; two sets of the
-   similarity share one among the first quarter of the larger and the first seventh of the smaller (both shares follow
-   from 0.75), and their positions there bound the overlap. A frequent passage stands at the end of that order.
-5. Components (union by smallest id); classes give their members their component.
+   at random), and pairs are verified on the full sets. Before that, sizes and one-bit sketches (a bit of each signature
+   value) rule pairs out that hardly reach the similarity; a pair ruled out wrongly is met again in step 3. Verified
+   links give components; later rounds only join components, so a round's graph is what is new.
+3. Members of buckets that still hold several components, however few or many, go through a prefix join of their full
+   sets, which is exact: shingles are ordered rare first; two sets of the similarity share one among the first quarter of
+   the larger and the first seventh of the smaller (both shares follow from 0.75), and their positions there bound the
+   overlap. A frequent passage stands at the end of that order.
+4. Components (union by smallest id); classes give their members their component.
 
 Banding: 48 bands of 5 rows miss a pair at similarity 0.75 with probability (1 - 0.75^5)^48 = 2.3e-6.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; with fewer words than the shingle the whole sequence is
 one; a null, empty or blank text has an empty set and is its own component; rows that repeat a doc_id with equal text
 are one class, with different texts their component is the smallest id of any of them; a null doc_id forms its own
-row without links; other columns are ignored.
+row without links; a very long text is a batch of its own, its signature in bounded pieces; other columns are ignored by
+near_groups and carried along by dedup_documents, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +28,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, components, drop_written, mix64, text_slices, word_hashes, words, written
+from .shared import array_blocks, as_bytes, components, drop_written, free_name, mix64, summed, text_slices, word_hashes, words, written
 
 SHINGLE, SHARE = 5, 75
 BANDS, ROWS = 48, 5
 PIVOT_ROUNDS = 2
-SMALL = 32
-_COUNTERS = 1 << 16
+#: Elements whose signature draws are held at once; short sets need 2 bytes an element and signature value.
+ELEMENTS = 100_000
+#: Bits of the token counters of the prefix join: at least, and at most (32 MB of counters).
+COUNTER_BITS = (16, 22)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,6 +115,13 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return sig
 
 
+def signatures(sets: list[np.ndarray], m: int, most: int = ELEMENTS) -> np.ndarray:
+    """super_minhash in groups of about `most` elements; a larger set is a group of its own and stops after a few levels."""
+    group = np.cumsum([len(s) for s in sets]) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sets)]
+    return np.vstack([super_minhash(sets[a:b], m) for a, b in zip(edges, edges[1:])])
+
+
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band; the band's number is in it."""
     with np.errstate(over="ignore"):
@@ -139,7 +147,7 @@ def _scan(k: int, bands: int, rows: int):
                 keys, words_ = np.zeros((len(sets), bands), np.int64), -(-bands * rows // 64)
                 sketch = np.zeros((len(sets), words_), np.int64)
                 if full:
-                    sig = super_minhash([sets[i] for i in full], bands * rows)
+                    sig = signatures([sets[i] for i in full], bands * rows)
                     keys[full], sketch[full] = band_keys(sig, bands, rows), _sketches(sig)
                 one, two = _digests(sets)
                 yield pa.RecordBatch.from_arrays(
@@ -163,11 +171,12 @@ def _sets(k: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) whose sets satisfy 100 * intersection >= share * union."""
+    """Of pairs (a, b, x, y) whose sets satisfy 100 * intersection >= share * union, the components x and y, once each."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("left"))
     two = sets.select(F.col("id").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    return pairs.join(two, "b").join(one, "a").where(100 * both >= share * (F.size("left") + F.size("right") - both)).select("a", "b")
+    linked = pairs.join(two, "b").join(one, "a").where(100 * both >= share * (F.size("left") + F.size("right") - both))
+    return linked.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def _sketches(sig: np.ndarray) -> np.ndarray:
@@ -205,26 +214,25 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: in
     buckets = written(shared.join(heads.select("id", "n", "sketch"), "id"), "buckets")
     sets = written(own.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
     drop_written(shared)
-    links, groups = None, None
+    groups = None
     # Pivot rounds: a bucket's members meet one of them, first the smallest, then others at random. Each costs pairs in
-    # the number of members; after them only what is still apart is compared with each other.
+    # the number of members; after them only what is still apart goes on.
     for turn in range(1 + PIVOT_ROUNDS):
         left = _mixed(buckets, groups)
         if turn and left.isEmpty():
             break
         order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
         pivot = left.groupBy("key").agg(F.min_by(F.struct("id", "n", "sketch", "component"), order).alias("p")).select("key", "p.*")
-        links, groups = _joined(left, pivot, sets, share, bands * rows, links, f"pivot-{turn}")
-    left = written(_mixed(buckets, groups), "apart")
-    large = left.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > SMALL).select("key")
-    few = _with_keys(left.join(large, "key", "left_anti"))
-    links, groups = _joined(few, few.where("true"), sets, share, bands * rows, links, "few", ordered=True)
-    many = left.join(large, "key", "left_semi").groupBy("id").agg(F.first("component").alias("component"))
-    links, groups = _prefix_joined(many, sets, share, links, groups)
+        on = (F.col("l.key") == F.col("r.key")) & _may_link(share, bands * rows)
+        groups = _merged(groups, _verified(_pairs(left.alias("l").join(pivot.alias("r"), on)), sets, share), f"pivot-{turn}")
+    apart = _mixed(buckets, groups).groupBy("id").agg(F.first("component").alias("component"))
+    groups = _prefix_joined(apart, sets, share, groups)
+    drop_written(buckets, sets)
     if twice_named:
-        twice = some.join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.col("doc_id").alias("c"))
-        twice = twice.select("a", "b").unionByName(twice.select("a", F.col("c").alias("b"))).where("a <> b")
-        groups = written(components(links.unionByName(twice), "near-all"), "near-all")
+        twice = some.join(some.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id").join(classes, ["d1", "d2", "n"]).where("class <> doc_id")
+        of = lambda side: groups.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
+        ends = twice.select("class", "doc_id").distinct().join(of("class"), "class", "left").join(of("doc_id"), "doc_id", "left")
+        groups = _merged(groups, ends.select(F.coalesce("class_component", "class").alias("a"), F.coalesce("doc_id_component", "doc_id").alias("b")), "named")
     by_class = classes.join(groups, F.col("class") == F.col("id"), "left").select("d1", "d2", "n", F.coalesce("component", "class").alias("component"))
     out = scan.select("doc_id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
@@ -240,20 +248,20 @@ def _mixed(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
     return told.join(apart, "key", "left_semi")
 
 
-def _with_keys(left: DataFrame) -> DataFrame:
-    """Each row with all keys of its id, as many as there are bands at most. A pair of two components meets in mixed buckets only, so these suffice to name the first one."""
-    return left.withColumn("keys", F.array_distinct(F.collect_list("key").over(Window.partitionBy("id"))))
+def _pairs(met: DataFrame) -> DataFrame:
+    """Rows l and r that met, as distinct (a, b, x, y): the ids in order, and their components."""
+    l, r = (F.struct(F.col(f"{side}.id").alias("id"), F.col(f"{side}.component").alias("component")) for side in "lr")
+    return met.select(F.least(l, r).alias("p"), F.greatest(l, r).alias("q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.component").alias("x"), F.col("q.component").alias("y")).distinct()
 
 
-def _joined(left: DataFrame, right: DataFrame, sets: DataFrame, share: int, m: int, links: DataFrame | None, name: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Verify the pairs of left and right rows of a bucket that may link; all links so far, and their components."""
-    on = (F.col("l.key") == F.col("r.key")) & _may_link(share, m)
-    if ordered:
-        on = on & (F.col("l.id") < F.col("r.id")) & (F.col("l.key") == F.array_min(F.array_intersect("l.keys", "r.keys")))
-    pairs = left.alias("l").join(right.alias("r"), on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    found = written(_verified(pairs, sets, share), f"links-{name}")
-    links = found if links is None else links.unionByName(found)
-    return links, written(components(links, f"near-{name}"), f"groups-{name}")
+def _merged(groups: DataFrame | None, edges: DataFrame, name: str) -> DataFrame:
+    """groups (id, component; the smallest id of a component has no row) after edges between components joined them."""
+    solved = components(edges, f"near-{name}")
+    if groups is None:
+        return written(solved, f"groups-{name}")
+    newer = solved.select(F.col("id").alias("component"), F.col("component").alias("newer"))
+    moved = groups.join(newer, "component", "left").select("id", F.coalesce("newer", "component").alias("component"))
+    return written(moved.unionByName(solved), f"groups-{name}")
 
 
 def _prefixes(share: int, counts: np.ndarray):
@@ -261,40 +269,41 @@ def _prefixes(share: int, counts: np.ndarray):
 
     The order is (count of the token's counter, token): one order for all sets, which is all that exactness asks for.
     """
+    names = ["token", "id", "component", "n", "at", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, component, items in zip(batch.column("id").to_pylist(), batch.column("component").to_pylist(), batch.column("items")):
                 tokens = items.values.to_numpy()
                 n = len(tokens)
-                order = np.lexsort((tokens, counts[tokens & (_COUNTERS - 1)]))
+                order = np.lexsort((tokens, counts[tokens & (len(counts) - 1)]))
                 probe, index = n - -(-share * n // 100) + 1, n - -(-2 * share * n // (100 + share)) + 1
                 at = np.arange(probe)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[order[:probe]]), *(pa.array(np.full(probe, x, np.int64)) for x in (doc, component, n)), pa.array(at), pa.array(at < index)],
-                    names=["token", "id", "component", "n", "at", "low"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[order[:probe]]), *(pa.array(np.full(probe, x, np.int64)) for x in (doc, component, n)), pa.array(at), pa.array(at < index)], names=names)
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(counters: int):
     """Tokens by counter, summed within the task before any row leaves it."""
-    total = np.zeros(_COUNTERS, np.int64)
-    for batch in batches:
-        total += np.bincount(batch.column("items").flatten().to_numpy() & (_COUNTERS - 1), minlength=_COUNTERS)
-    met = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["counter", "many"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("items").flatten().to_numpy() & (counters - 1), minlength=counters)
+        yield from array_blocks(total)
+
+    return run
 
 
-def _prefix_joined(members: DataFrame, sets: DataFrame, share: int, links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verify all pairs of members (id, component) across components that a prefix join leaves possible."""
+def _prefix_joined(members: DataFrame, sets: DataFrame, share: int, groups: DataFrame) -> DataFrame:
+    """groups after all pairs of members (id, component) across components that a prefix join leaves possible were verified."""
     own = written(members.join(sets, "id"), "prefix-sets")
-    if own.isEmpty():
-        return links, groups
-    counts = np.zeros(_COUNTERS, np.int64)  # a table of fixed size
-    for counter, many in own.select("items").mapInArrow(_counted, "counter long, many long").groupBy("counter").agg(F.sum("many")).collect():
-        counts[counter] = many
+    elements = own.agg(F.sum(F.size("items"))).first()[0]
+    if not elements:
+        return groups
+    counters = 1 << int(np.clip(np.ceil(np.log2(elements)) - 3, *COUNTER_BITS))  # so that a counter holds few rare tokens
+    counts = summed(own.select("items").mapInArrow(_counted(counters), "block int, values binary"), counters).astype(np.float32)
     prefixes = own.select("id", "component", "items").mapInArrow(_prefixes(share, counts), "token long, id long, component long, n long, at long, low boolean")
     prefixes = written(prefixes, "prefixes")
     useful = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("low").alias("any")).where("any and x <> y").select("token")
@@ -303,9 +312,9 @@ def _prefix_joined(members: DataFrame, sets: DataFrame, share: int, links: DataF
     after = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
     bound = (100 + share) * F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= share * (F.col("l.n") + F.col("r.n"))
     on = (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & after & bound & (100 * F.col("l.n") >= share * F.col("r.n"))
-    pairs = left.join(right, on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    links = links.unionByName(written(_verified(pairs, own, share), "links-many"))
-    return links, written(components(links, "near-many"), "groups-many")
+    groups = _merged(groups, _verified(_pairs(left.join(right, on)), own, share), "prefix")
+    drop_written(own, prefixes)
+    return groups
 
 
 def _repeats(scan: DataFrame) -> bool:
@@ -314,7 +323,13 @@ def _repeats(scan: DataFrame) -> bool:
 
 
 def dedup_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows of which one stays for each group: the smallest doc_id, once."""
-    kept = near_groups(docs, **options).where("kept").select("doc_id").distinct()
-    named = docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs' rows of which one stays for each group: the smallest doc_id. Of rows that repeat a doc_id, unlike texts are groups of their own."""
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_groups(docs, **options).where("kept and doc_id is not null").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = free_name("row_number_of_dedup", docs.columns)
+    numbered = written(named.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_groups(numbered.select(F.col(row).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(row), "component_id")
+    first = numbered.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
