@@ -6,16 +6,18 @@ their own; any other word is one of ``CLASSES`` symbols, by a hash of its ending
 probability, and unseen words have some.
 
 Training: word counts over all training documents (combined before the shuffle); then Baum-Welch over all of them:
-each task runs scaled forward-backward on its documents, and expected counts are summed by a group-by; what the driver
-gets is one number per state and symbol, a size fixed by parameters. Start values come from a few rounds of the same kind
-on a sample of whole documents of every length. Scoring: the scaled forward recursion gives the exact likelihood of each whole symbol sequence.
+each task runs scaled forward-backward on its documents and sends its expected counts as dense blocks, which are summed
+as streams; what the driver gets is one number per state and symbol, a size fixed by parameters. Start values come from
+a few rounds of the same kind on a sample of whole documents of every length. Scoring: the scaled forward recursion
+gives the exact likelihood of each whole symbol sequence.
 
 The ``FREQUENT`` most frequent words are looked up in a table sent to every task (a fixed size); all other words meet
 their counts in a shuffled join, however many there are.
 
 Defined cases: a null, empty or blank text is the end alone; rows that repeat a doc_id are trained on and scored each;
-a null doc_id is trained on (no remainder); without training documents N = V = 0 and start values are used; other
-columns are ignored; an empty table gives no rows.
+a null doc_id is trained on (no remainder); without training documents N = V = 0 and start values are used; of a very
+long text the recursions hold a stretch at a time and a state vector for each stretch; words of equal count rank by code
+point; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, crc_mod, text_slices, words, written
+from .shared import array_blocks, as_bytes, crc_mod, drop_written, summed, text_slices, words, written
 
 STATES, OWN, CLASSES, FREQUENT = 8, 8192, 256, 65536
 SAMPLE, SAMPLE_ROUNDS, ROUNDS = 400, 8, 2
 SYMBOLS = OWN + CLASSES + 1
 END = SYMBOLS - 1
 PRIOR = 50.0
+#: State vectors that the recursions hold at once.
+CELLS = 400_000
 
 
 def _count(most_held: int = 300_000):
@@ -45,7 +49,7 @@ def _count(most_held: int = 300_000):
         held: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most_bytes=4 << 20):
                 held[b""] += batch.num_rows  # the end; no word is empty
                 for text in as_bytes(batch.column("text")):
                     held.update(words(text))
@@ -111,7 +115,7 @@ def _code(vocabulary: Vocabulary, mark: str):
         task, row = TaskContext.get().partitionId() << 40, 0
         end_log = float(np.log10(vocabulary.ends + 1))
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most_bytes=4 << 20):
                 n, known, logs, classes, coded, rare = [], [], [], [], [], []
                 for text in as_bytes(batch.column("text")):
                     tokens = words(text)
@@ -162,7 +166,7 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def _groups(sequences: list[np.ndarray], most: int = 1_000_000) -> Iterator[list[int]]:
+def _groups(sequences: list[np.ndarray], most: int) -> Iterator[list[int]]:
     """Indices by falling length, in groups whose padded size is bounded (one longer sequence is a group of its own)."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
@@ -172,57 +176,73 @@ def _groups(sequences: list[np.ndarray], most: int = 1_000_000) -> Iterator[list
         at += size
 
 
-def forward(model: Model, sequences: list[np.ndarray], counts: bool = False):
-    """Natural-log likelihood of each sequence; with counts also the expected (start, move, emit) counts."""
+def _advance(model: Model, emit_of: np.ndarray, symbols: np.ndarray, live: list[int], begin: int, end: int, a: np.ndarray | None, total=None, alphas=None, scales=None) -> np.ndarray:
+    """Scaled forward steps from begin to end; a is the state vector before begin (none at the start)."""
+    for t in range(begin, end):
+        n = live[t]
+        a = (np.broadcast_to(model.start, (n, len(model.start))) if a is None else a[:n] @ model.move) * emit_of[symbols[t, :n]]
+        c = a.sum(axis=1)
+        a /= c[:, None]
+        if total is not None:
+            total[:n] += np.log(c)
+        if alphas is not None:
+            alphas[t - begin, :n], scales[t - begin, :n] = a, c
+    return a
+
+
+def forward(model: Model, sequences: list[np.ndarray], counts: bool = False, most: int = CELLS):
+    """Natural-log likelihood of each sequence; with counts also the expected (start, move, emit) counts.
+
+    For counts the forward pass keeps the state vectors at the begin of each stretch; the backward pass goes from stretch
+    to stretch and runs the forward steps of one again, so about `most` vectors are held besides those.
+    """
     k = len(model.start)
     out = np.zeros(len(sequences))
     emit_of = np.ascontiguousarray(model.emit.T)
     start_n, move_n, emit_n = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
     back_move = model.move.T.copy()
-    for group in _groups(sequences):
+    for group in _groups(sequences, most):
         lens = np.array([len(sequences[i]) for i in group])
         longest, g = int(lens[0]), len(group)
-        symbols = np.full((longest, g), END, np.int64)
+        symbols = np.full((longest, g), END, np.int32)
         for j, i in enumerate(group):
             symbols[: lens[j], j] = sequences[i]
         live = np.searchsorted(-lens, -np.arange(longest), side="left").tolist()  # sequences longer than t
-        total = np.zeros(g)
-        alphas = np.empty((longest, g, k)) if counts else None
-        scales = np.ones((longest, g)) if counts else None
-        a = np.broadcast_to(model.start, (g, k))
-        for t in range(longest):
-            n = live[t]
-            a = (a[:n] @ model.move if t else a) * emit_of[symbols[t, :n]]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            total[:n] += np.log(c)
-            if counts:
-                alphas[t, :n], scales[t, :n] = a, c
+        total, a, enter, span = np.zeros(g), None, {}, max(1, most // g)
+        for t0 in range(0, longest, span):
+            enter[t0] = a
+            a = _advance(model, emit_of, symbols, live, t0, min(t0 + span, longest), a, total)
         out[group] = total
-        if counts:
-            b = np.ones((g, k))
-            for t in range(longest - 1, -1, -1):
+        if not counts:
+            continue
+        b = np.ones((g, k))
+        for t0 in reversed(enter):
+            t1 = min(t0 + span, longest)
+            alphas, scales = np.empty((t1 - t0, g, k)), np.ones((t1 - t0, g))
+            _advance(model, emit_of, symbols, live, t0, t1, enter[t0], None, alphas, scales)
+            for t in range(t1 - 1, t0 - 1, -1):
                 n = live[t]
                 if t:
-                    w = emit_of[symbols[t, :n]] * b[:n] / scales[t, :n, None]
-                    move_n += alphas[t - 1, :n].T @ w
-                alphas[t, :n] *= b[:n]
+                    w = emit_of[symbols[t, :n]] * b[:n] / scales[t - t0, :n, None]
+                    move_n += (alphas[t - t0 - 1, :n] if t > t0 else enter[t0][:n]).T @ w
+                alphas[t - t0, :n] *= b[:n]
                 if t:
                     b[:n] = w @ back_move
-            start_n += alphas[0].sum(axis=0)
-            valid = np.arange(longest)[:, None] < lens
-            flat, weight = symbols[valid], alphas[valid]
+            if t0 == 0:
+                start_n += alphas[0].sum(axis=0)
+            valid = np.arange(t0, t1)[:, None] < lens
+            flat, weight = symbols[t0:t1][valid], alphas[valid]
             for s in range(k):
                 emit_n[s] += np.bincount(flat, weights=weight[:, s], minlength=emit_n.shape[1])
     return (out, start_n, move_n * model.move, emit_n) if counts else out
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
 def _expect(model: Model):
-    """Expected counts of a task, flat: start, move, emit."""
+    """Expected counts of a task as blocks of one array: start, move, emit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -231,8 +251,7 @@ def _expect(model: Model):
                 _, *parts = forward(model, _sequences(batch.column("symbols")), counts=True)
                 total = total + np.concatenate([p.ravel() for p in parts])
         if not np.isscalar(total):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["place", "value"])
+            yield from array_blocks(total)
 
     return run
 
@@ -267,11 +286,10 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds
         return model
     sample = written(training.where(F.col("row").isin([r["row"] for r in few])).select("symbols"), "start-sample")
     for documents in [sample] * SAMPLE_ROUNDS + [training.select("symbols")] * rounds:
-        sums = documents.mapInArrow(_expect(model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-        flat = np.zeros(states + states**2 + states * SYMBOLS)
-        flat[np.asarray(sums.column("place"))] = np.asarray(sums.column("value"))
+        flat = summed(documents.mapInArrow(_expect(model), "block int, values binary"), states + states**2 + states * SYMBOLS)
         a, b = states, states + states**2
         model = model.refit(flat[:a], flat[a:b].reshape(states, states), flat[b:].reshape(states, SYMBOLS), shares)
+    drop_written(sample)
     return model
 
 
