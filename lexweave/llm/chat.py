@@ -1,16 +1,18 @@
 """Chat formatting by schema fingerprints.
 
-A record is a JSON object in any known layout. The paths of its nested fields (arrays as ``[]``), sorted and hashed, are
-its fingerprint, which selects a declarative mapping from layout to canonical (role, text) turns. Turns are written in
-one template whose control strings cannot occur inside a role or text, because those are escaped reversibly:
+A record is a JSON object in any known layout. Those paths of its nested fields (arrays as ``[]``) that some layout knows,
+sorted and hashed, are its fingerprint, which selects a declarative mapping from layout to canonical (role, text) turns;
+other fields change nothing. Turns are written in one template whose control strings cannot occur inside a role or text, because those are escaped reversibly:
 
     <|im_start|>role\\ntext<|im_end|>\\n      with \\ as \\\\, "<|" as "<\\|", and in roles a newline as "\\n"
 
 The loss mask is the list of spans of assistant texts in the written string. parse() reads all back from the string.
 
-Defined cases: a null or missing text or role is empty; a record whose fingerprint no mapping knows, or that is no
-JSON object, keeps its row with a null string and its fingerprint; turns are ordered by turn, then role, then text, null
-first; rows with a null conv_id form one conversation; other columns are ignored; an empty table gives no rows.
+Defined cases: a null or missing text or role is empty; a record that lacks a path of every layout, or that is no JSON
+object, keeps its row with a null string and its fingerprint; of several layouts that a record fits the first counts;
+turns are ordered by turn, then role, then text, null first; repeated rows are turns each; a row with a null conv_id is a
+conversation of its own, so such rows meet in no task; a conversation is one string, however long its texts; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,17 +29,16 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
 
-#: Layouts: the paths that a record has, and either the list of turns with its role and text fields, or one turn a field.
-LAYOUTS: list[tuple[tuple[str, ...], dict]] = [
-    (("turns[].role", "turns[].text", "turns[].turn"), {"list": "turns", "role": "role", "text": "text"}),
-    (("messages[].content", "messages[].role"), {"list": "messages", "role": "role", "text": "content"}),
-    (("conversations[].from", "conversations[].value"), {"list": "conversations", "role": "from", "text": "value"}),
-    (("instruction", "output"), {"fields": [("user", ("instruction",)), ("assistant", ("output",))]}),
-    (("input", "instruction", "output"), {"fields": [("user", ("instruction", "input")), ("assistant", ("output",))]}),
-    (("prompt", "response"), {"fields": [("user", ("prompt",)), ("assistant", ("response",))]}),
-    (("completion", "prompt"), {"fields": [("user", ("prompt",)), ("assistant", ("completion",))]}),
-    (("prompt", "response", "system"), {"fields": [("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))]}),
-    (("answer", "question"), {"fields": [("user", ("question",)), ("assistant", ("answer",))]}),
+#: Layouts: either the list of turns with its role and text fields, or turns of one field each (those in the second
+#: place of a turn are needed, those in the third may be missing; a turn of none is left out).
+LAYOUTS: list[dict] = [
+    {"list": "turns", "role": "role", "text": "text"},
+    {"list": "messages", "role": "role", "text": "content"},
+    {"list": "conversations", "role": "from", "text": "value"},
+    {"fields": [("system", (), ("system",)), ("user", ("instruction",), ("input",)), ("assistant", ("output",), ())]},
+    {"fields": [("system", (), ("system",)), ("user", ("prompt",), ()), ("assistant", ("response",), ())]},
+    {"fields": [("system", (), ("system",)), ("user", ("prompt",), ()), ("assistant", ("completion",), ())]},
+    {"fields": [("system", (), ("system",)), ("user", ("question",), ()), ("assistant", ("answer",), ())]},
 ]
 #: Names of roles that other layouts use.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -55,14 +56,39 @@ def fingerprint(paths) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(paths))) - (1 << 63)
 
 
-MAPPINGS = {fingerprint(paths): how for paths, how in LAYOUTS} | {fingerprint({f"{how['list']}[]"}): how for _, how in LAYOUTS if "list" in how}
+def _needs(how: dict) -> list[set[str]]:
+    """The sets of paths of which a record holds one at least to have the layout."""
+    if "list" in how:
+        return [{f"{how['list']}[].{how[k]}" for k in ("role", "text")}, {f"{how['list']}[]"}]
+    return [{f for _, needed, _ in how["fields"] for f in needed}]
+
+
+KNOWN = {p for how in LAYOUTS for need in _needs(how) for p in need} | {f for how in LAYOUTS for *_, more in how.get("fields", ()) for f in more}
+
+
+def known_paths(record: dict) -> set[str]:
+    """Known paths that the record holds, as values or with something inside."""
+    held = field_paths(record)
+    return {k for k in KNOWN if any(p == k or (not k.endswith("[]") and p.startswith((f"{k}.", f"{k}["))) for p in held)}
+
+
+_MAPPINGS: dict[int, dict | None] = {}
+
+
+def mapping(paths: set[str]) -> dict | None:
+    """The layout that a fingerprint selects: the first whose needed paths are all there."""
+    mark = fingerprint(paths)
+    if mark not in _MAPPINGS:
+        _MAPPINGS[mark] = next((how for how in LAYOUTS if any(need <= paths for need in _needs(how))), None)
+    return _MAPPINGS[mark]
 
 
 def canonical(record: dict, how: dict) -> list[tuple[str, str]]:
     text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
     if "list" in how:
-        return [(text(t.get(how["role"])), text(t.get(how["text"]))) if how["list"] != "conversations" else (ROLES.get(text(t.get(how["role"])), text(t.get(how["role"]))), text(t.get(how["text"]))) for t in record[how["list"]]]
-    return [(role, "\n\n".join(x for x in (text(record.get(f)) for f in fields) if x)) for role, fields in how["fields"]]
+        named = [(text(t.get(how["role"])), text(t.get(how["text"]))) if isinstance(t, dict) else ("", text(t)) for t in record[how["list"]]]
+        return [(ROLES.get(role, role), said) for role, said in named] if how["list"] == "conversations" else named
+    return [(role, "\n\n".join(x for x in (text(record.get(f)) for f in (*needed, *more)) if x)) for role, needed, more in how["fields"] if needed or any(f in record for f in more)]
 
 
 def escape(text: str) -> str:
@@ -114,8 +140,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 record = json.loads(raw) if raw is not None else None
             except ValueError:
                 record = None
-            mark = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-            how = MAPPINGS.get(mark)
+            paths = known_paths(record) if isinstance(record, dict) else None
+            mark, how = (fingerprint(paths), mapping(paths)) if paths is not None else (None, None)
             written, spans = render(canonical(record, how)) if how else (None, [])
             rows.append({"conv_id": key, "fingerprint": mark, "formatted": written, "loss_spans": [{"start": a, "end": b} for a, b in spans]})
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("fingerprint", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
@@ -129,7 +155,8 @@ def format_records(records: DataFrame) -> DataFrame:
 def conversation_records(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) to one JSON record a conversation."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    own = turns.select("conv_id", turn.alias("said"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"))
+    grouped = own.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("said")).alias("turns"))
     return grouped.select("conv_id", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
 
 

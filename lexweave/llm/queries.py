@@ -93,14 +93,14 @@ FROM embeddings e LEFT JOIN lowest l ON e.vec_id = l.id LEFT JOIN degree d ON e.
 _ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 OP4 = f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', NULL UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', NULL)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '\\n') || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id"""
+FROM turns GROUP BY conv_id, alone"""
 
 OP5 = r"""
 WITH RECURSIVE sized AS (
