@@ -2,16 +2,19 @@
 
 A vector is coded as a sum of full-dimensional codewords, one of each residual codebook, found by beam search; the norm
 of what the code leaves over is stored. A query's inner product with a code is a sum of table look-ups, and |q| times
-the stored norm bounds the rest, so a vector is passed over only if it cannot reach the query's k-th best lower bound.
-All others are reranked by exact inner products in double precision: recall is 1 for any fitted codebooks.
+the stored norm bounds the rest, so a vector is passed over only if it cannot reach the query's k-th best lower bound, in
+its block or among the blocks that the task has seen. The others are reranked one by one by exact inner products in
+double precision: recall is 1 for any fitted codebooks. With ``BOOKS`` books of ``WORDS`` words about a twentieth of a
+unit vector is left over, and less than a tenth of the candidates is reranked even where vectors are pure noise.
 
 Every row is indexed; codebooks are fitted on a bounded sample. The stated query set meets all vectors in blocks: vectors
-are packed ``VECTORS`` to a row and queries ``QUERIES`` to a row, dealt by query block and salt, and a task keeps only the
-running k best of its query blocks.
+are packed ``VECTORS`` to a row and queries ``QUERIES`` to a row, dealt by query block and salt. A block of vectors
+travels once, with its codes; a task keeps only the running k best of its query blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a
 null vec_id; vectors of another length than the query are no candidates; rows that repeat a vec_id are candidates each,
-but none of the query's own id; ties go to the smaller vec_id; with no query or no candidate there are no rows.
+but none of the query's own id; ties go to the smaller vec_id; with no query or no candidate there are no rows; other
+columns are ignored; very long vectors are handled like others, a block of them at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .shared import partitions, written
 from .vectors import k_means, matrix, nearest, sample_matrix, usable
 
 NEIGHBOURS, EVERY = 20, 20
-BOOKS, WORDS, BEAM, SAMPLE = 8, 64, 4, 4096
+BOOKS, WORDS, BEAM, SAMPLE = 48, 64, 2, 4096
 VECTORS, QUERIES = 4096, 1024
 
 
@@ -45,16 +48,21 @@ class AdditiveCode:
         n = len(v)
         rest, codes = v[:, None, :], np.zeros((n, 1, 0), np.uint8)
         for book in self.books:
-            width = rest.shape[1]
-            cost = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)
-            best = np.argsort(cost.reshape(n, -1), axis=1, kind="stable")[:, :beam] if width * len(book) > beam else np.argsort(cost.reshape(n, -1), axis=1)
+            cost = ((rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)).reshape(n, -1)
+            best = np.argpartition(cost, beam - 1, axis=1)[:, :beam] if cost.shape[1] > beam else np.tile(np.arange(cost.shape[1]), (n, 1))
             parent, word = best // len(book), best % len(book)
             rest = np.take_along_axis(rest, parent[:, :, None], axis=1) - book[word]
             codes = np.concatenate((np.take_along_axis(codes, parent[:, :, None], axis=1), word[:, :, None].astype(np.uint8)), axis=2)
-        return codes[:, 0], np.linalg.norm(rest[:, 0], axis=1)
+        left = np.linalg.norm(rest, axis=2)
+        first = left.argmin(axis=1)
+        return codes[np.arange(n), first], left[np.arange(n), first]
 
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        return [q @ book.T for book in self.books]
+    def scores(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries and codes, from one table a book."""
+        total = np.zeros((len(q), len(codes)), np.float32)
+        for m, book in enumerate(self.books):
+            total += (q @ book.T).astype(np.float32)[:, codes[:, m]]
+        return total
 
 
 BLOCK = "width int, block long, ids binary, vectors binary, codes binary, left binary"
@@ -93,10 +101,6 @@ def _pack(models: dict[int, AdditiveCode], most: int, coded: bool):
     return run
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
 def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Row by row inner products, summed component after component."""
     total = np.zeros(len(v))
@@ -105,30 +109,26 @@ def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_block(model: AdditiveCode, q_ids, q, ids, v, codes, left, k: int):
-    """(query row, id, score) of each query's k best in one block."""
-    approx = sum(t[:, codes[:, m]] for m, t in enumerate(model.tables(q)))
-    slack = np.linalg.norm(q, axis=1)[:, None] * left[None] + 1e-9
-    low, other = approx - slack, ids[None] != q_ids[:, None]
-    low = np.where(other, low, -np.inf)
+def search_block(model: AdditiveCode, q_ids, q, ids, v, codes, left, k: int, floor: np.ndarray | None = None):
+    """(query row, id, score) of each query's k best in one block, and how many candidates were reranked; floor is what a
+    query's k best reach already."""
+    approx = model.scores(q, codes)
+    norm = np.linalg.norm(q, axis=1)
+    # room for the single precision of the tables
+    slack = norm[:, None] * (left[None] + 1e-5 * (1 + np.linalg.norm(v, axis=1)[None])) + 1e-9
+    other = ids[None] != q_ids[:, None]
     need = min(k, len(ids))
-    kth = np.partition(low, len(ids) - need, axis=1)[:, len(ids) - need]
-    may = (approx + slack >= kth[:, None]) & other
-    columns = np.flatnonzero(may.any(axis=0))
-    near = np.where(may[:, columns], q @ v[columns].T, -np.inf)
-    rows = []
-    for i in range(len(q)):
-        real = np.isfinite(near[i])
-        if real.any():
-            keep = np.flatnonzero(real)
-            if len(keep) > k:
-                bound = np.partition(near[i][keep], len(keep) - k)[len(keep) - k]
-                keep = keep[near[i][keep] >= bound - 1e-9 * (1 + abs(bound))]
-            at = columns[keep]
-            score = exact_products(np.broadcast_to(q[i], (len(at), q.shape[1])), v[at])
-            top = best_of(ids[at], score, k)
-            rows.append((np.full(len(top), q_ids[i]), np.full(len(top), i), ids[at][top], score[top]))
-    return tuple(np.concatenate(c) for c in zip(*rows)) if rows else None
+    reach = np.partition(np.where(other, approx - slack, -np.inf), len(ids) - need, axis=1)[:, len(ids) - need]
+    if need < k:  # fewer than k candidates here: none can be passed over for another of this block
+        reach = np.full(len(q), -np.inf)
+    if floor is not None:
+        reach = np.maximum(reach, floor)
+    row, column = np.nonzero((approx + slack >= reach[:, None]) & other)
+    score = np.concatenate([np.zeros(0), *(exact_products(q[row[a : a + 65536]], v[column[a : a + 65536]]) for a in range(0, len(row), 65536))])
+    order = np.lexsort((ids[column], -score, row))
+    rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    top = order[rank < k]
+    return q_ids[row[top]], row[top], ids[column[top]], score[top], len(row)
 
 
 def _search(models: dict[int, AdditiveCode], k: int, most_held: int = 64):
@@ -146,11 +146,14 @@ def _search(models: dict[int, AdditiveCode], k: int, most_held: int = 64):
                 ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, width)
                 codes, left = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["left"], "<f8")
                 key, parts = (width, row["q_block"]), []
+                floor = np.full(len(q), -np.inf)
+                if key in running:
+                    _, at, _, score = running[key]  # by query row, best first
+                    full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
+                    floor[at[full]] = score[full]
                 for at in range(0, len(q), 128):
-                    if (got := search_block(model, q_ids[at : at + 128], q[at : at + 128], ids, v, codes, left, k)) is not None:
-                        parts.append((got[0], got[1] + at, got[2], got[3]))
-                if not parts:
-                    continue
+                    got = search_block(model, q_ids[at : at + 128], q[at : at + 128], ids, v, codes, left, k, floor[at : at + 128])
+                    parts.append((got[0], got[1] + at, got[2], got[3]))
                 found = tuple(np.concatenate(c) for c in zip(*parts))
                 if key in running:
                     both = tuple(np.concatenate(c) for c in zip(running[key], found))

@@ -16,8 +16,9 @@ def is_usable(column: str) -> Column:
 
 
 def usable(embeddings: DataFrame, *columns: str) -> DataFrame:
-    """The columns and the vector v, as doubles, of each row with a usable vector."""
-    return embeddings.where(is_usable("embedding")).select(*columns, F.col("embedding").cast("array<double>").alias("v"))
+    """The columns and the vector v of each row with a usable vector; floats stay floats, all else is doubles."""
+    kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
+    return embeddings.where(is_usable("embedding")).select(*columns, F.col("embedding").cast(kind).alias("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,10 +33,10 @@ def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.n
     centres = points[rng.permutation(len(points))[:k]].copy()
     for _ in range(rounds):
         near = nearest(points, centres)
-        for c in range(k):
-            own = points[near == c]
-            if len(own):
-                centres[c] = own.mean(axis=0)
+        order = np.argsort(near, kind="stable")
+        some, begin = np.unique(near[order], return_index=True)
+        sums = np.add.reduceat(points[order], begin, axis=0)
+        centres[some] = sums / np.diff(np.append(begin, len(points)))[:, None]
     return centres
 
 
