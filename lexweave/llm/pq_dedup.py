@@ -1,17 +1,20 @@
 """Embedding near-dedup by product quantisation, without loss.
 
-Unit vectors fall into coarse inverted lists; their residuals are coded by subspace. A vector probes every list that can
-hold a partner: a partner within distance r of x lies in a Voronoi cell whose bisector is at most r from x. In a probed
-list, asymmetric distances come from look-up tables, and the stored coding error e gives a bound (|x - y| >= table
-distance - e), so a vector is passed over only if it cannot reach the cosine. What is left is compared by exact cosine
-in double precision. The bounds hold for any sample the quantiser is fitted on, so recall is 1.
-
-Equal vectors of a label are one class with a count. Lists are split into member blocks and query blocks of bounded
-size, so a hot label or list is many tasks. A block emits counts of links and a spanning forest of them, not pairs.
+Unit vectors fall into coarse inverted lists; their residuals are coded by subspace, and list, codes and coding error are
+stored. A vector probes every list that can hold a partner: a partner within distance r of x lies in a Voronoi cell whose
+bisectors are at most r from x. In a probed list, asymmetric distances come from look-up tables, and the stored coding
+error e gives a bound (|x - y| >= table distance - e), so a vector is passed over only if it cannot reach the cosine. What
+is left is compared by exact cosine in double precision. The bounds hold for any sample the quantiser is fitted on, so
+recall is 1.
+
+Equal vectors of a label are one class with a count. The lists of a label are dealt to member blocks of bounded size (a
+larger list is split), and a vector travels once to each block that holds a list it probes, so a hot label or list is
+many tasks. A block emits counts of links and a spanning forest of them, not pairs, which is why it holds its members'
+vectors for the exact comparison.
 
 Defined cases: see the contract in op2 for labels and vectors that link with nothing; vectors of different lengths link
 with nothing across lengths; rows that repeat a vec_id count as vectors of their own that share the id and component;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored; very long vectors are handled like others.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .vectors import is_usable, k_means, matrix, nearest, sample_matrix, usable
 COSINE, SAMPLE = 0.98, 4096
 SUBSPACES, CODES = 8, 64
 MEMBERS, QUERIES = 2048, 1024
+NEAR_LISTS = 8
 _SLACK = 1e-5
 
 
@@ -51,33 +55,41 @@ class Quantiser:
 
     def probes(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (vector, list) of all lists that can hold a unit vector within radius."""
-        d2 = ((unit[:, None, :] - self.centres[None]) ** 2).sum(axis=2) if len(unit) * self.centres.size < 1 << 24 else np.maximum(1 + (self.centres**2).sum(axis=1) - 2 * unit @ self.centres.T, 0)
-        own = d2.argmin(axis=1)
-        apart = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)[own]
-        margin = (d2 - d2[np.arange(len(unit)), own][:, None]) / np.where(apart > 0, 2 * apart, 1)
-        return np.nonzero((margin <= radius + _SLACK) | (apart == 0))
+        d2 = np.maximum(1 + (self.centres**2).sum(axis=1) - 2 * unit @ self.centres.T, 0)
+        apart = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)
+        apart = np.where(apart > 0, 2 * apart, np.inf)
+        margin = np.full(d2.shape, -np.inf)
+        for c in np.argsort(d2, axis=1)[:, :NEAR_LISTS].T:  # the bisectors with the nearest lists
+            margin = np.maximum(margin, (d2 - np.take_along_axis(d2, c[:, None], axis=1)) / apart[c])
+        return np.nonzero(margin <= radius + _SLACK)
 
     def tables(self, unit: np.ndarray, which: int) -> list[np.ndarray]:
         rest = unit - self.centres[which]
         return [((rest[:, a:b][:, None, :] - book[None]) ** 2).sum(axis=2) for (a, b), book in zip(zip(self.edges, self.edges[1:]), self.books)]
 
 
-def _blocks_of(models: dict[int, Quantiser], radius: float):
-    """Members and probing queries as rows (kind, label, width, list, id, n, v); kind 0 a member."""
+CODED = "label int, width int, id long, n long, v array<{kind}>, list int, codes binary, error double, probes array<int>"
+
+
+def _coded(models: dict[int, Quantiser], radius: float):
+    """Rows (label, width, id, n, v) with their list, codes, coding error and the lists they probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for width in set(batch.column("width").to_pylist()):
-                part = batch.filter(pc.equal(batch.column("width"), width))
-                v = matrix(part.column("v"))
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                own = nearest(unit, models[width].centres)
-                who, where = models[width].probes(unit, radius)
-                take = np.concatenate((np.arange(len(v)), who))
-                rows = part.select(["label", "width", "id", "n", "v"]).take(pa.array(take))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([0, 1], [len(v), len(who)]), pa.int32()), pa.array(np.concatenate((own, where)), pa.int32()), *rows.columns], names=["kind", "list", "label", "width", "id", "n", "v"]
-                )
+        for whole in batches:
+            for width in set(whole.column("width").to_pylist()):
+                of_width = whole.filter(pc.equal(whole.column("width"), width))
+                for at in range(0, of_width.num_rows, 1024):
+                    part = of_width.slice(at, 1024)
+                    v = matrix(part.column("v"))
+                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    own, codes, error = models[width].encode(unit)
+                    who, where = models[width].probes(unit, radius)
+                    ends = np.searchsorted(who, np.arange(len(v) + 1)).astype(np.int32)
+                    probes = pa.ListArray.from_arrays(pa.array(ends), pa.array(where.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in ("label", "width", "id", "n", "v")), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), probes],
+                        names=["label", "width", "id", "n", "v", "list", "codes", "error", "probes"],
+                    )
 
     return run
 
@@ -99,33 +111,46 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[out], ids[label[out]]
 
 
-def _compare(models: dict[int, Quantiser], least: float):
-    radius = np.sqrt(max(0.0, 2 - 2 * least))
+def _linked(model: Quantiser, which: int, q: np.ndarray, m: np.ndarray, codes: np.ndarray, error: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, member) of one list whose cosine is at least `least`; members' codes and errors are the stored ones."""
+    radius, rows, columns = np.sqrt(max(0.0, 2 - 2 * least)), [], []
+    m_norm = np.linalg.norm(m, axis=1)
+    for at in range(0, len(q), 256):
+        qv = q[at : at + 256]
+        q_norm = np.linalg.norm(qv, axis=1)
+        d2 = sum(t[:, codes[:, i]] for i, t in enumerate(model.tables(qv / q_norm[:, None], which)))
+        i, j = np.nonzero(np.sqrt(np.maximum(d2, 0)) <= radius + error[None] + _SLACK)
+        for a in range(0, len(i), 1 << 17):
+            x, y = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
+            good = np.einsum("ij,ij->i", qv[x], m[y]) / (q_norm[x] * m_norm[y]) >= least
+            rows.append(at + x[good])
+            columns.append(y[good])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
+
 
+def _compare(models: dict[int, Quantiser], least: float):
     def run(block: pa.Table) -> pa.Table:
-        left, right = (block.filter(pc.equal(block.column("kind"), kind)) for kind in (0, 1))
+        block = block.combine_chunks()
+        left, right = (block.filter(pc.equal(block.column("kind"), kind)).combine_chunks() for kind in (0, 1))
         ids, partners, counts = [], [], []
         if left.num_rows and right.num_rows:
-            width, which = left.column("width")[0].as_py(), left.column("list")[0].as_py()
-            model = models[width]
-            mv = matrix(left.column("v").combine_chunks())
-            m_norm = np.linalg.norm(mv, axis=1)
-            _, codes, error = model.encode(mv / m_norm[:, None])
-            m_ids, m_n = np.asarray(left.column("id")), np.asarray(left.column("n"))
-            all_q, q_ids = matrix(right.column("v").combine_chunks()), np.asarray(right.column("id"))
+            model = models[left.column("width")[0].as_py()]
+            m, q = (matrix(t.column("v").combine_chunks()) for t in (left, right))
+            m_ids, m_n, q_ids = np.asarray(left.column("id")), np.asarray(left.column("n")), np.asarray(right.column("id"))
+            lists, error = np.asarray(left.column("list")), np.asarray(left.column("error"))
+            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(m), -1)
+            probes = right.column("probes").combine_chunks()
+            prober = np.repeat(np.arange(len(q)), np.diff(np.asarray(probes.offsets)))
+            probed = np.asarray(probes.flatten())
             pairs = []
-            for at in range(0, len(all_q), 256):
-                qv = all_q[at : at + 256]
-                unit = qv / np.linalg.norm(qv, axis=1)[:, None]
-                d2 = sum(t[:, codes[:, i]] for i, t in enumerate(model.tables(unit, which)))
-                i, j = np.nonzero(np.sqrt(np.maximum(d2, 0)) <= radius + error[None] + _SLACK)
-                cosine = np.empty(len(i))
-                for a in range(0, len(i), 1 << 18):
-                    p, q = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
-                    cosine[a : a + len(p)] = np.einsum("ij,ij->i", qv[p], mv[q]) / (np.linalg.norm(qv, axis=1)[p] * m_norm[q])
-                good = (cosine >= least) & (q_ids[at + i] != m_ids[j])
-                pairs.append((at + i[good], j[good]))
+            for which in np.unique(lists).tolist():
+                some, own = prober[probed == which], np.flatnonzero(lists == which)
+                i, j = _linked(model, which, q[some], m[own], codes[own], error[own], least)
+                pairs.append((some[i], own[j]))
             i, j = (np.concatenate(c) for c in zip(*pairs))
+            other = q_ids[i] != m_ids[j]
+            i, j = i[other], j[other]
             if len(i):
                 n = np.bincount(i, weights=m_n[j], minlength=len(q_ids)).astype(np.int64)
                 some = np.flatnonzero(n)
@@ -151,18 +176,27 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
         pairs = spark.createDataFrame([], "id long, partner long, n long")
     else:
         radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-        dealt = written(
-            classes.select("label", "width", F.col("class").alias("id"), "n", "v").mapInArrow(_blocks_of(models, radius), "kind int, list int, label int, width int, id long, n long, v array<double>"), "vector-lists"
-        )
-        place = ["label", "width", "list"]
+        kind = dict(classes.dtypes)["v"].removeprefix("array<").removesuffix(">")
+        coded = classes.select("label", "width", F.col("class").alias("id"), "n", "v").mapInArrow(_coded(models, radius), CODED.format(kind=kind))
+        coded = written(coded, "vector-lists")
+        # the lists of a label are dealt to as many member blocks as its size asks for
+        blocks = coded.groupBy("label", "width").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+        coded = coded.join(blocks, ["label", "width"])
+        block_of = lambda of: F.pmod(F.hash(of), F.col("blocks"))
+        members = coded.select(F.lit(0).alias("kind"), "label", "width", block_of(F.col("list")).alias("block"), "id", "n", "v", "list", "codes", "error", F.array().cast("array<int>").alias("probes"))
+        asked = coded.withColumn("block", F.explode(F.array_distinct(F.transform("probes", block_of))))
+        own_probes = F.filter("probes", lambda of: block_of(of) == F.col("block"))
+        asked = asked.select(F.lit(1).alias("kind"), "label", "width", "block", "id", "n", "v", "list", F.lit(None).cast("binary").alias("codes"), "error", own_probes.alias("probes"))
+        place = ["label", "width", "block"]
+        dealt = members.unionByName(asked)
         sizes = dealt.groupBy(*place).agg(F.sum(1 - F.col("kind")).alias("members"), F.sum("kind").alias("queries"))
-        sizes = sizes.select(*place, F.ceil(F.col("members") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("qb")).where("mb > 0 and qb > 0")
+        sizes = sizes.select(*place, F.ceil(F.col("members") / (2 * MEMBERS)).cast("int").alias("mb"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("qb")).where("mb > 0 and qb > 0")
         told = dealt.join(sizes, place)
         own_part = lambda by: F.array(F.pmod(F.xxhash64("id"), F.col(by)).cast("int"))
         all_parts = lambda by: F.sequence(F.lit(0), F.col(by) - 1)
         of_kind = lambda member, query: F.when(F.col("kind") == 0, member).otherwise(query)
         told = told.withColumn("m", F.explode(of_kind(own_part("mb"), all_parts("mb")))).withColumn("q", F.explode(of_kind(all_parts("qb"), own_part("qb"))))
-        pairs = told.select(*place, "m", "q", "kind", "id", "n", "v").groupBy(*place, "m", "q").applyInArrow(_compare(models, least), "id long, partner long, n long")
+        pairs = told.select(*place, "m", "q", "kind", "id", "n", "v", "list", "codes", "error", "probes").groupBy(*place, "m", "q").applyInArrow(_compare(models, least), "id long, partner long, n long")
     found = written(pairs, "vector-links")
     links = found.where("partner = -1").groupBy("id").agg(F.sum("n").alias("links"))
     # links are between classes; a vec_id in several classes ties their components together
