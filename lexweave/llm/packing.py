@@ -8,8 +8,9 @@ within its length: ranks come from counts by task and length, never from a sort
 
 A document longer than the capacity is cut so that its first piece takes the remainder and all others are full.
 
-Defined cases: a null or empty text is one piece holding only the end id; rows that repeat a doc_id are packed each;
-an empty table gives no pieces; other columns are ignored.
+Defined cases: a null or empty text is one piece holding only the end id; rows that repeat a doc_id, or hold a null one,
+are packed each; a very long text is encoded in a batch of its own; pieces of equal length take their places in order of
+task and row; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,36 +29,72 @@ from .tokens import encoder, public_path
 
 CAPACITY = 1024
 #: Pieces that a worker's encoder remembers.
-REMEMBER = 200_000
+REMEMBER = 100_000
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
+def _best_pair(sizes: list[int], counts: dict[int, int], room: int) -> int:
+    """The largest sum of two pieces that fit into room, 0 if none do; sizes ascend."""
+    best, low, high = 0, 0, len(sizes) - 1
+    while low <= high:
+        total = sizes[low] + sizes[high]
+        if total > room or (low == high and counts[sizes[low]] < 2):
+            high -= 1
+        else:
+            best = max(best, total)
+            low += 1
+    return best
+
+
+def _dominant(size: int, counts: dict[int, int], room: int) -> tuple[int, ...] | None:
+    """Companions of a piece of that size that dominate all others which fit beside it, if there are such; counts are
+    without that piece.
+
+    A set dominates another if the other's pieces can be grouped so that each group fits under one of its own. So a
+    single companion dominates if it fills the room, if no two fit, or if no three fit and no two are larger together;
+    two dominate if no three fit, the first is the largest that fits, and of any two that fit one is no larger than the
+    second.
+    """
+    fits = sorted(k for k, n in counts.items() if n > 0 and k <= room)
+    if not fits:
+        return ()
+    largest = fits[-1]
+    least = [k for k in fits[:3] for _ in range(min(3, counts[k]))][:3]
+    if largest == room or len(least) < 2 or sum(least[:2]) > room:
+        return (largest,)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    if _best_pair(fits, counts, room) <= largest:
+        return (largest,)
+    beside = [k for k in fits if k <= room - largest and counts[k] > (k == largest)]
+    if beside and not _best_pair([k for k in fits if k > beside[-1]], counts, room):
+        return (largest, beside[-1])
+    return None
+
+
 def _reduce(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Martello-Toth: fix, from the largest length down, the sets that dominate every other set with that length."""
+    """Martello-Toth: fix, from the largest length down, sets of up to three pieces that dominate every other set with
+    that length, as often as the pieces last (fewer other pieces leave them dominant), until a pass finds none."""
     fixed: list[Pattern] = []
     again = True
     while again:
         again = False
         for size in sorted(counts, reverse=True):
             while counts.get(size, 0) > 0:
-                room = capacity - size
                 counts[size] -= 1
-                fits = sorted(k for k, n in counts.items() if n > 0 and k <= room)
+                companions = _dominant(size, counts, capacity - size)
                 counts[size] += 1
-                if not fits:  # nothing fits beside it
-                    fixed.append((((size, 1),), counts.pop(size)))
-                    again = True
+                if companions is None:
                     break
-                best = fits[-1]
-                two_least = fits[0] * 2 if counts[fits[0]] - (fits[0] == size) > 1 else fits[0] + (fits[1] if len(fits) > 1 else capacity)
-                if best != room and two_least <= room:
-                    break  # two others might fill more than the best one: nothing is proved
-                n = counts[size] // 2 if best == size else min(counts[size], counts[best])
-                fixed.append((((size, 2),) if best == size else ((size, 1), (best, 1)), n))
-                for used in {size, best}:
-                    counts[used] -= n * (2 if best == size else 1)
-                    if counts[used] == 0:
-                        del counts[used]
+                need: dict[int, int] = {}
+                for k in (size, *companions):
+                    need[k] = need.get(k, 0) + 1
+                n = min(counts[k] // m for k, m in need.items())
+                fixed.append((tuple(need.items()), n))
+                for k, m in need.items():
+                    counts[k] -= n * m
+                    if counts[k] == 0:
+                        del counts[k]
                 again = True
     return fixed
 
@@ -94,7 +131,7 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(path, True, REMEMBER), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in text_slices(whole, most_bytes=4 << 20):
+            for batch in text_slices(whole, most_bytes=2 << 20):
                 ids, at = enc.encode_with_end(batch.column("text"))
                 raw, lens = memoryview(ids.astype("<u4").tobytes()), np.diff(at)
                 n = -(-lens // capacity)
@@ -153,7 +190,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     upto = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = written(by_task.select("task", "length", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("shift")), "shifts")
     counts = {r["length"]: r["n"] for r in shifts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    ranked = cut.join(shifts.drop("n"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("shift"))
+    # a row a task and length: it grows with the tasks, so it is merged and never broadcast
+    ranked = cut.join(shifts.drop("n").hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("shift"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         _place(pack_histogram(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
