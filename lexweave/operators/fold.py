@@ -311,31 +311,54 @@ class Parser:
         return out
 
 
-def parsed(lines: DataFrame, levels: int = 6) -> DataFrame:
-    """lines (doc_id, page, line_no, indent, heading_level, bold, list_item, text) to units, footnotes, tables with their rows, and orphans.
+def folded(lines: DataFrame, make, schema: str, order: list[str]) -> DataFrame:
+    """Rows of a parser (feed a line, then rows(key)) over each document's lines in that order.
 
-    Documents are dealt by id and streamed in order, so a task holds one document's state at a time.
+    Documents are dealt by id and streamed, so a task holds one document's state at a time. A document whose lines the
+    parser cannot take gives one row of kind ``error`` with the message as its text, and the others go on.
     """
     kind = lines.schema["doc_id"].dataType.simpleString()
-    schema = SCHEMA.replace("{key}", kind)
-    names = [part.split()[0] for part in schema.split(", ")]
+    schema = schema.replace("{key}", kind)
+    names, kinds = zip(*(part.split() for part in schema.split(", ")))
+    own = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parser, rows, types = None, None, [], None
+        key, parser, failed, rows, types = None, None, None, [], None
+
+        def ended():
+            if failed is None:
+                try:
+                    return parser.rows(key)
+                except Exception as e:  # noqa: BLE001  one bad document must not fail the others
+                    return [told(e)]
+            return [told(failed)]
+
+        def told(e):
+            return tuple({"doc_id": key, "place": 0, "kind": "error", "text_before": f"{type(e).__name__}: {e}"}.get(n) for n in names)
+
         for batch in batches:
-            types = types or pa.schema([pa.field(n, batch.schema.field("doc_id").type if n == "doc_id" else pa.list_(pa.string()) if n == "footnote_refs" else pa.int32() if n in ("place", "page_start", "page_end", "line_start", "indent") else pa.string()) for n in names])
+            types = types or pa.schema([pa.field(n, batch.schema.field("doc_id").type if n == "doc_id" else own[k]) for n, k in zip(names, kinds)])
             for line in batch.to_pylist():
                 if parser is None or line["doc_id"] != key:
                     if parser is not None:
-                        rows += parser.rows(key)
-                    key, parser = line["doc_id"], Parser(levels)
-                parser.feed(line)
+                        rows += ended()
+                    key, parser, failed = line["doc_id"], make(), None
+                if failed is None:
+                    try:
+                        parser.feed(line)
+                    except Exception as e:  # noqa: BLE001
+                        failed = e
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=types)
                 rows = []
         if parser is not None:
-            rows += parser.rows(key)
+            rows += ended()
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=types)
 
+    return lines.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, schema)
+
+
+def parsed(lines: DataFrame, levels: int = 6) -> DataFrame:
+    """lines (doc_id, page, line_no, indent, heading_level, bold, list_item, text) to units, footnotes, tables with their rows, and orphans; a document that fails gives one row of kind error."""
     own = lines.select("doc_id", "page", "line_no", "indent", "heading_level", "bold", "list_item", "text")
-    return own.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(run, schema)
+    return folded(own, lambda: Parser(levels), SCHEMA, ["line_no"])

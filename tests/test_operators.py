@@ -4,6 +4,7 @@ import json
 
 from lexweave.functions import patterns as P
 from lexweave.operators import audit, fold, hierarchy, layout, lines, mentions, tables
+from lexweave.operators.positioned import parsed_positioned
 
 DOC = ["5. (1) Head text", "(a) alpha", "(i) one", "continued", "(b) beta", "(2) two"]
 
@@ -163,3 +164,67 @@ def test_stream_counts_a_replayed_batch_once(spark, tmp_path):
     for _ in range(2):
         keep_edges(stream_texts(spark, str(tmp_path / "in")), str(tmp_path / "edges"), str(tmp_path / "mark")).awaitTermination(120)
     assert {r.dst: r.n for r in in_degrees(spark, str(tmp_path / "edges")).collect()} == {"5": 1, "7": 1}
+
+
+def _placed(spark, rows):
+    """(page, x, y, text) or with bold and font."""
+    full = [(1, r[0], i + 1, float(r[1]), float(r[2]), float(r[5]) if len(r) > 5 else 9.0, bool(r[4]) if len(r) > 4 else False, r[3]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id int, page int, line_no int, x double, y double, font double, bold boolean, text string")
+
+
+def test_positioned_text_opens_units_by_form_and_edge(spark):
+    rows = [
+        (1, 20, 10, "Income Tax Department"), (1, 20, 12, "1", False, 7), (1, 20, 20, "CHAPTER II - Basis"), (1, 30, 30, "Charge of tax", True), (1, 30, 40, "4. (1) Tax shall be charged"), (1, 45, 50, "(a) first"), (1, 60, 60, "(i) inner"),
+        (1, 45, 70, "back to the clause"), (1, 60, 80, "and as reduced by more"), (1, 30, 90, "(2) next"), (1, 30, 100, "Explanation 1.— meaning"), (1, 30, 105, "12. far right is no section? it is"), (1, 100, 110, "13. Not at the margin"),
+    ]
+    found = parsed_positioned(_placed(spark, rows)).orderBy("place").collect()
+    units = [(r.type, r.unit_id, r.parent_id, r.title, r.text_before, r.text_after) for r in found if r.kind == "unit"]
+    assert units == [
+        ("chapter", "chapter-II", None, "Basis", "", ""),
+        ("section", "4", "chapter-II", "Charge of tax", "", ""),
+        ("subsection", "4-1", "4", None, "Tax shall be charged", ""),
+        ("clause", "4-1-a", "4-1", None, "first", "back to the clause and as reduced by more"),
+        ("sub_clause", "4-1-a-i", "4-1-a", None, "inner", ""),
+        ("subsection", "4-2", "4", None, "next", ""),
+        ("explanation", "4-2-explanation-1", "4-2", None, "meaning", ""),
+        ("section", "12", "chapter-II", None, "far right is no section? it is 13. Not at the margin", ""),
+    ]
+
+
+def test_positioned_footnotes_end_at_the_margin_and_at_the_page(spark):
+    rows = [(1, 30, 10, "4. body"), (1, 30, 700, "1. Sub. by Act No. 5"), (1, 40, 710, "of 2020"), (2, 40, 10, "continued body"), (2, 30, 700, "2. Ins. by Act"), (2, 30, 710, "(1) text"), (2, 50, 720, "tail")]
+    found = {(r.kind, r.number): r.text_before for r in parsed_positioned(_placed(spark, rows)).collect()}
+    assert found == {("unit", "4"): "body continued body", ("footnote", "1"): "Sub. by Act No. 5 of 2020", ("footnote", "2"): "Ins. by Act", ("unit", "1"): "text tail"}
+
+
+def test_positioned_tables_take_rows_by_height_and_columns_by_anchor(spark):
+    rows = [
+        (1, 30, 10, "5. (1) Rates"), (1, 200, 20, "TABLE"), (1, 30, 30, "Sl. No."), (1, 120, 30, "Income"), (1, 300, 31, "(A)"), (1, 36, 40, "1."), (1, 125, 41, "up to"), (1, 305, 40, "5%"), (1, 120, 50, "a lakh"),
+        (1, 36, 60, "2."), (1, 120, 60, "more"), (1, 300, 60, "10%"), (1, 30, 70, "(2) after"), (1, 30, 80, "Sl. No. Other"), (1, 30, 90, "(1) alone"), (2, 40, 10, "(b) on another page"),
+    ]
+    found = parsed_positioned(_placed(spark, rows)).where("kind like 'table%'").orderBy("place").collect()
+    assert [(r.unit_id, r.parent_id, r.number, r.title, r.text_before) for r in found] == [
+        ("5-1-table-1", "5-1", None, "TABLE", "Sl. No.|Income|[A]"), ("5-1-table-1-row-1", "5-1-table-1", "1", None, "|up to a lakh|5%"), ("5-1-table-1-row-2", "5-1-table-1", "2", None, "|more|10%"),
+        ("5-2-table-1", "5-2", None, "Sl. No. Other", "Sl. No. Other"),
+    ]
+    assert found[0].text_after == "Subsection (1): Rates Table items: Item 1 — Income: up to a lakh; [A]: 5%. Item 2 — Income: more; [A]: 10%."
+
+
+def test_positioned_text_loses_no_word(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["(1)", "(a)", "(ii)", "(B)", "7.", "word", "TABLE", "Sl. No. x", "Explanation", "5%", "3. Ins. by", "CHAPTER IV", "Provided that"]
+    rows = [(1 + i // 40, rng.choice([10, 29, 40, 60, 200]), (i % 40) * 12, " ".join(rng.choice(words) for _ in range(3)), rng.random() < 0.1) for i in range(200)]
+    found = parsed_positioned(_placed(spark, rows)).collect()
+    assert {r.kind for r in found} <= {"unit", "footnote", "table", "table_row", "orphan"}
+    said = " ".join(f"{r.title or ''} {r.text_before} {r.text_after if r.kind == 'unit' else ''}" for r in found)
+    assert said.count("word") >= sum(r[3].count("word") for r in rows if not r[4])
+
+
+def test_one_bad_document_gives_an_error_row(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 20.0, 1.0, 9.0, False, "4. fine"), (2, 1, 1, 20.0, 1.0, 9.0, False, None), (3, 1, 1, 20.0, 1.0, 9.0, False, "5. fine too")], "doc_id int, page int, line_no int, x double, y double, font double, bold boolean, text string")
+    found = {r.doc_id: (r.kind, r.text_before) for r in parsed_positioned(rows).collect()}
+    assert found[1] == ("unit", "fine") and found[3] == ("unit", "fine too") and found[2][0] == "error" and "NoneType" in found[2][1]
+    broken = _fold_lines(spark, ["5. (1) x"]).unionByName(_fold_lines(spark, ["6. (1) y"]).selectExpr("2 doc_id", "page", "line_no", "indent", "heading_level", "bold", "list_item", "cast(null as string) text"))
+    assert {(r.doc_id, r.kind) for r in fold.parsed(broken).collect()} == {(1, "unit"), (2, "error")}
