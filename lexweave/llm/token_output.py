@@ -2,12 +2,13 @@
 
 A file is a Parquet part; a row is a shard of consecutive documents in ascending doc_id order (Spark's commit protocol
 then makes the write safe when executors are lost, and any store that Spark reads will do). In a shard, frequent
-neighbouring id pairs are replaced by new nonterminals round after round. Stored: the rules (two symbols each) with
-their expansion lengths, the compressed sequence, and for each document its symbols' place, so that one document is
-decoded without the others. No rule crosses the end of a document.
+neighbouring id pairs are replaced by new nonterminals until no pair is frequent. Stored: the rules (two symbols each)
+with their expansion lengths, the compressed sequence, and for each document its symbols' place, so that one document
+is decoded without the others. No rule crosses the end of a document.
 
 Defined cases: a null or empty text holds only the end id; rows that repeat a doc_id stand one after another, ordered
-by text; null doc_ids come first; an empty table gives an empty folder that reads back as no rows.
+by a hash of the text and then the text; null doc_ids come first; a very long text is a shard of its own; columns
+besides doc_id and text are ignored; an empty table gives an empty folder that reads back as no rows.
 """
 
 from __future__ import annotations
@@ -26,53 +27,86 @@ from .shared import partitions, scratch_root, text_slices
 from .tokens import encoder, public_path
 
 SHARD_IDS = 1 << 20
-ROUNDS, LEAST_COUNT, MOST_NEW = 4, 8, 4096
-FIRST_RULE = 1 << 20
+#: Occurrences from which a pair is frequent; a rule takes three words, its two symbols and its length.
+LEAST_COUNT = 8
+#: Nonterminals are numbered from here; ids of the tokenizer lie below.
+FIRST_RULE = 1 << 24
 FORMAT = "task int, shard int, doc_ids binary, doc_nulls binary, doc_places binary, rules binary, rule_lengths binary, symbols binary, n_ids long"
-_SLOTS = 18
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, most_new: int = MOST_NEW):
+def _members(chosen: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where `pair` is one of `chosen`, which one, and where it may be one that found no place: a hash table with one
+    slot a value, of which the first of `chosen` that falls there stays."""
+    bits = max(10, min(20, len(chosen).bit_length() + 3))
+    slot = lambda p: ((p.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    table, own = np.full(1 << bits, -1, np.int32), slot(chosen)
+    table[own[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+    crowded = np.zeros(1 << bits, bool)
+    crowded[own[table[own] != np.arange(len(chosen))]] = True
+    slots = slot(pair)
+    which = table[slots]
+    where = np.flatnonzero(which >= 0)
+    which = which[where]
+    hit = chosen[which] == pair[where]
+    missed = where[~hit]
+    return where[hit], which[hit], missed[crowded[slots[missed]]]
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
     """Compress ids; ends marks the last id of each document. Gives (symbols, ends of documents in symbols, rules).
 
-    Each round counts all pairs, takes the most frequent ones and replaces their occurrences. Where chosen pairs
-    overlap, the more frequent one is replaced, of equal ones the left; the other may come up again in the next round.
+    Each round counts the pairs that can be frequent: at first all, then those with a new nonterminal and those frequent
+    before but not replaced; other counts only fall. All frequent pairs are replaced at once; where they overlap, the more
+    frequent one, in a run of one pair every other one. A pair that keeps less than half of `least` places that way waits
+    for the next round. The most frequent pair keeps at least half of its places, so every round replaces some; the last
+    one finds no frequent pair. The sequence is a linked list, so a round costs what changed.
     """
-    seq, last, rules = ids.astype(np.int64), np.zeros(len(ids), bool), []
+    n = len(ids)
+    if n and int(ids.max()) >= FIRST_RULE:
+        raise ValueError(f"ids must be below {FIRST_RULE}")
+    symbol, last, alive = ids.astype(np.int64), np.zeros(n, bool), np.ones(n, bool)
     last[ends] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
+    following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    rank, rules, made = np.zeros(n + 1, np.int32), [], 0  # before[0] reads the spare place at the end
+    at = np.flatnonzero(~last).astype(np.int32)
+    while len(at):
+        pair = (symbol[at] << 32) | symbol[following[at]]
+        counted = np.sort(pair)
+        edge = np.flatnonzero(np.concatenate(([True], counted[1:] != counted[:-1], [True])))
+        many = np.diff(edge)
+        frequent = np.flatnonzero(many >= least)
+        if not len(frequent):
             break
-        pair = (seq[:-1] << 32) | seq[1:]
-        free = ~last[:-1]
-        counted = np.sort(pair[free])
-        edge = np.concatenate(([0], np.flatnonzero(counted[1:] != counted[:-1]) + 1, [len(counted)])) if len(counted) else np.zeros(1, np.int64)
-        n = np.diff(edge)
-        good = np.flatnonzero(n >= least)
-        if not len(good):
-            break
-        good = good[np.argsort(-n[good], kind="stable")[:most_new]]
-        chosen = counted[edge[good]]
-        # a small hash table from pair to place in `chosen`, which is by falling count; of two in one slot the rarer waits
-        slot = lambda p: ((p.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        table = np.full(1 << _SLOTS, -1, np.int32)
-        table[slot(chosen)[::-1]] = np.arange(len(chosen))[::-1]
-        which = table[slot(pair)]
-        hit = free & (which >= 0)
-        hit[hit] = chosen[which[hit]] == pair[hit]
-        rank = np.where(hit, len(chosen) - which, 0)
-        left, right = np.concatenate(([0], rank[:-1])), np.concatenate((rank[1:], [0]))
-        at = np.flatnonzero(hit & (rank > left) & (rank >= right))
-        used = np.unique(which[at])
+        chosen = counted[edge[frequent[np.argsort(-many[frequent], kind="stable")]]]
+        where, which, late = _members(chosen, pair)
+        p = at[where]
+        q = following[p]
+        rank[p] = len(chosen) - which
+        head = np.concatenate(([True], (q[:-1] != p[1:]) | (which[1:] != which[:-1])))[: len(p)]
+        place = np.arange(len(p), dtype=np.int32)
+        even = (place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 0
+        take = np.where(head, rank[p] > rank[before[p]], even) & (rank[p] >= rank[q])
+        rank[p] = 0
+        take &= (np.bincount(which[take], minlength=len(chosen)) >= least // 2)[which]
+        first, rule = p[take], which[take]
+        second = following[first]
+        used = np.unique(rule)
         number = np.zeros(len(chosen), np.int64)
-        number[used] = FIRST_RULE + len(rules) + np.arange(len(used))
-        rules.extend(zip((chosen[used] >> 32).tolist(), (chosen[used] & 0xFFFFFFFF).tolist()))
-        seq[at] = number[which[at]]
-        last[at] |= last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    return seq.astype(np.uint32), np.flatnonzero(last), np.array(rules, np.uint32).reshape(-1, 2)
+        number[used] = FIRST_RULE + made + np.arange(len(used))
+        rules.append(chosen[used])
+        made += len(used)
+        symbol[first], last[first], alive[second] = number[rule], last[second], False
+        after = following[second]
+        following[first] = after
+        inside = after < n
+        before[after[inside]] = first[inside]
+        again = np.zeros(n + 1, bool)
+        for places in (p[~take], at[late], first, before[first]):
+            again[places] = True
+        at = np.flatnonzero(again[:n] & alive & ~last).astype(np.int32)
+    keep = np.flatnonzero(alive)
+    flat = np.concatenate(rules) if rules else np.zeros(0, np.int64)
+    return symbol[keep].astype(np.uint32), np.flatnonzero(last[keep]), np.stack((flat >> 32, flat & 0xFFFFFFFF), axis=1).astype(np.uint32)
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
@@ -108,7 +142,7 @@ def _shards(path: str, keeps_space: bool, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, shard = encoder(path, keeps_space), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most_bytes=4 << 20):
                 ids, at = enc.encode_with_end(batch.column("text"))
                 docs = batch.column("doc_id")
                 bare, null = np.asarray(docs.fill_null(0)), np.asarray(docs.is_null().to_numpy(zero_copy_only=False))
@@ -127,9 +161,10 @@ def _shards(path: str, keeps_space: bool, shard_ids: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, keeps_space: bool = False, shard_ids: int = SHARD_IDS) -> None:
     """Write docs' token ids (an end id after each document) to folder, ascending by doc_id."""
     path = tokenizer or public_path("word_bpe_49k.json")
-    own = docs.select("doc_id", "text")
-    ordered = own.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_shards(path, keeps_space, shard_ids), FORMAT).write.option("compression", "zstd").parquet(folder)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    # range bounds go through the driver: the hash stands for the text there
+    ordered = own.repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(_shards(path, keeps_space, shard_ids), FORMAT).write.option("compression", "zstd").parquet(folder)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
