@@ -30,10 +30,20 @@ def glyph_text(chars: DataFrame, key: list[str], gap: float = 1.8) -> DataFrame:
     return rendered_lines(chars.withColumn("piece", piece), key, "piece").withColumn("text", clean_text("text"))
 
 
-def cells_by_gap(chars: DataFrame, key: list[str], gap: float = 18.0) -> DataFrame:
-    """Cells of a line: a new one where the gap is wide; box and text of each."""
+def superscripts(chars: DataFrame, key: list[str], ratio: float = 0.85) -> DataFrame:
+    """Glyphs with a flag: smaller than ratio times the page's most frequent size."""
+    most = dominant_size(chars, key, weight=F.lit(1))
+    return chars.join(most, key).withColumn("superscript", F.col("size") < F.col("dominant") * ratio)
+
+
+def cells_by_gap(chars: DataFrame, key: list[str], gap: float = 18.0, bound: Column | None = None) -> DataFrame:
+    """Cells of a line: a new one where the gap is wide, or where the bound of the last column is crossed by any gap; box and text of each."""
     w = Window.partitionBy(*key).orderBy("x0", "ord")
-    cut = F.when(F.col("x0") - F.lag("x1").over(w) > gap, 1).otherwise(0)
+    before = F.col("x0") - F.lag("x1").over(w)
+    wide = before > gap
+    if bound is not None:
+        wide = wide | F.coalesce((F.lag("x0").over(w) < bound) & (F.col("x0") >= bound) & (before > 0.1), F.lit(False))
+    cut = F.when(wide, 1).otherwise(0)
     s = chars.withColumn("cut", cut).withColumn("cell", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "ord", "c"))), lambda x: x["c"]), "")
     return s.groupBy(*key, "cell").agg(text.alias("text"), F.min("x0").alias("x"), F.max("x1").alias("x_end"), F.bool_or("bold").alias("bold"))
@@ -45,6 +55,20 @@ def second_pass_bounds(cells: DataFrame, key: list[str], margin: float = 5.0) ->
     return last.groupBy(*key).agg((F.min("x") - margin).alias("bound"))
 
 
+def region_cells(chars: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of a table region in two passes: the first finds where the last column begins, the second splits there too."""
+    own = [*key, "line"]
+    bounds = second_pass_bounds(cells_by_gap(chars, own), key)
+    return cells_by_gap(chars.join(bounds, key, "left"), own, bound=F.col("bound"))
+
+
+def selected_pages(spec: Column) -> Column:
+    """``1-3,7`` to the pages it names, ascending, once each."""
+    ends = lambda part: F.split(F.trim(part), "-")
+    spans = F.transform(F.split(spec, ","), lambda part: F.sequence(F.element_at(ends(part), 1).cast("int"), F.element_at(ends(part), -1).cast("int")))
+    return F.array_sort(F.array_distinct(F.flatten(spans)))
+
+
 def line_clusters(chars: DataFrame, key: list[str], tolerance: float = 3.0) -> DataFrame:
     """Greedy clustering by y against a cluster's first member: a fold over the sorted heights of a page."""
     ys = chars.groupBy(*key).agg(F.array_sort(F.collect_set("y0")).alias("ys"))

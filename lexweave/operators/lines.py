@@ -73,7 +73,8 @@ def starts_table_boundary(text="text") -> Column:
 
 
 def is_post_table_body(text="text", x="x") -> Column:
-    return _C(text).rlike(r"^\d+[A-Z]?\.") & (_C(x) <= 30.5) | (_C(text).rlike(r"^\(a\)\s") & (_C(x) <= 45)) | _C(text).rlike(P.EXPLANATION) | _C(text).rlike(P.PROVISO)
+    special = _C(text).rlike(P.EXPLANATION) | _C(text).rlike(P.PROVISO) | _C(text).rlike(P.ILLUSTRATION)
+    return is_section_start_at(text, x) | (_C(text).rlike(r"^\([a-z]\)\s") & (_C(x) <= 45)) | special
 
 
 def is_column_letters(text="text") -> Column:
@@ -135,4 +136,5 @@ def positioned_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def in_reading_order(positioned: DataFrame, key: str = "doc_id") -> DataFrame:
-    return positioned.orderBy(key, "page", "y", "x")
+    """Adds place, a line's rank in its document by page, height and left edge."""
+    return positioned.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("page", "y", "x", "line_no")))

@@ -143,6 +143,19 @@ def with_confidence(refs: DataFrame, index: DataFrame, by_document: bool = True)
     return out.withColumn("confidence", F.when(F.col("resolved"), "high").otherwise("medium"))
 
 
+def unresolved(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """References whose target is no unit of the index (unit_id): an anti-join on the target; those without a target stay."""
+    return refs.join(index.select(F.col("unit_id").alias("target_id")), "target_id", "left_anti")
+
+
+def section_report(edges: DataFrame, most: int = 8) -> DataFrame:
+    """section, its targets, how many sections name it and the first of them by number."""
+    into = incoming(edges).select("dst", F.col("n").alias("n_callers")).join(callers(edges, most), "dst")
+    both = target_lists(edges).join(into, F.col("src") == F.col("dst"), "full_outer")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return both.select(F.coalesce("src", "dst").alias("section"), blank("targets"), F.coalesce("n_callers", F.lit(0)).alias("n_callers"), blank("callers"))
+
+
 def merge_references(existing: DataFrame, new: DataFrame, unit: list[str]) -> DataFrame:
     """Union without repeats of (target_id, anchor, relationship) in a unit; existing rows win, then order."""
     both = existing.withColumn("src", F.lit(0)).unionByName(new.withColumn("src", F.lit(1)))

@@ -81,7 +81,8 @@ def html_cells(lines: DataFrame, key: list[str]) -> DataFrame:
 
 def merged_rows(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
     """Rows of two tables by item number: full outer, cells of all rows of a number joined, those of one first, each in
-    order of lines. Rows without a number stay as they are. key has to name one table (``with_region``)."""
+    order of lines. Rows without a number stay as they are. place ranks a table's rows by number, those without one last.
+    key has to name one table (``with_region``)."""
 
     def by_number(rows: DataFrame, name: str) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.struct("line_no", "cells")))
@@ -90,7 +91,8 @@ def merged_rows(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
     a, b = by_number(one, "left_cells"), by_number(two, "right_cells")
     merged = a.join(b, [*key, "item_no"], "full_outer").select(*key, "item_no", merge_text(F.coalesce("left_cells", F.lit("")), F.coalesce("right_cells", F.lit(""))).alias("cells"))
     rest = [rows.where("item_no is null").select(*key, "item_no", clean_text("cells").alias("cells")) for rows in (one, two)]
-    return merged.unionByName(rest[0]).unionByName(rest[1])
+    order = Window.partitionBy(*key).orderBy(F.col("item_no").asc_nulls_last(), "cells")
+    return merged.unionByName(rest[0]).unionByName(rest[1]).withColumn("place", F.row_number().over(order))
 
 
 def table_ids(tables: DataFrame, unit: str = "unit_id", key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions.text import clean_text
 from ..operators import hierarchy, mentions
 from ..operators.lines import reading_order, so_far
@@ -56,5 +55,10 @@ def agent(lines: DataFrame, heal: Hook | None = None, config: ModelConfig | None
     return mentions.detected(texts, ["doc_id", "line_no"], "lookback70")
 
 
-def classifier_labels() -> dict[str, list[str]]:
-    return {"lookback60": [label for _, label in P.LOOKBACK60], "lookback70": [label for _, label in P.LOOKBACK70]}
+def counters(**counted: DataFrame) -> DataFrame:
+    """(counter, n): the rows of each of a run's tables."""
+    out = None
+    for name, rows in counted.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -353,12 +353,29 @@ def q30_borderless_rows(spark, sf_dir):
     return tables.borderless_rows(_units(spark, sf_dir), ["doc_id"])
 
 
-@query(f"""WITH {_L}, a AS (SELECT doc_id, {_ITEM.format(f"({_CELLS})[1]")} AS item_no, arg_min(array_to_string({_CELLS}, '|'), line_no) AS l FROM lines WHERE {_PIPES} GROUP BY ALL),
-b AS (SELECT doc_id, {_ITEM.format(f"({_LOOSE})[1]")} AS item_no, arg_min(array_to_string({_LOOSE}, '|'), line_no) AS r FROM lines WHERE {_BORDERLESS} GROUP BY ALL)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item_no, b.item_no) AS item_no, {_CLEAN.format("coalesce(l, '') || ' ' || coalesce(r, '')")} AS cells FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.item_no = b.item_no""")
+def _repeated(spark, sf_dir):
+    """Table lines again: one with the same number, one without any."""
+    units, k, kind = _units(spark, sf_dir), _C("k"), _C("kind")
+    text = F.when(k == 0, _C("text")).when((k == 1) & kind.isin(8, 9), _C("text")).when((k == 2) & (kind == 8), F.concat(F.lit("|see|note "), _C("doc_id").cast("string"), F.lit("|x|"))).when((k == 2) & (kind == 9), "see   the note")
+    return units.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).select("doc_id", (_C("line_no") * 10 + k).alias("line_no"), text.alias("text")).where("text is not null")
+
+
+_REPEATED = f"""{_L}, again AS (SELECT doc_id, line_no * 10 + k AS line_no, CASE WHEN k = 0 THEN text WHEN k = 1 AND kind IN (8, 9) THEN text WHEN k = 2 AND kind = 8 THEN '|see|note ' || doc_id || '|x|' WHEN k = 2 AND kind = 9 THEN 'see   the note' END AS text
+  FROM (SELECT *, unnest([0, 1, 2]) AS k FROM lines)), said AS (SELECT * FROM again WHERE text IS NOT NULL),
+stretches AS (SELECT *, sum(CASE WHEN upper(regexp_replace(text, '[|*_\\s]', '', 'g')) = 'TABLE' OR regexp_matches(trim(text), {q(P.CHAPTER)}) OR regexp_matches(trim(text), '^\\d+[A-Z]?\\.\\s*\\(') OR regexp_matches(trim(text), '^\\s*\\[?\\(\\s*\\d+\\s*\\)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS region FROM said)"""
+
+
+@query(f"""WITH {_REPEATED}, p AS (SELECT doc_id, region, line_no, {_ITEM.format(f"({_CELLS})[1]")} AS item_no, array_to_string({_CELLS}, '|') AS cells FROM stretches WHERE {_PIPES}),
+b AS (SELECT doc_id, region, line_no, {_ITEM.format(f"({_LOOSE})[1]")} AS item_no, array_to_string({_LOOSE}, '|') AS cells FROM stretches WHERE {_BORDERLESS}),
+one AS (SELECT doc_id, region, item_no, string_agg(cells, ' ' ORDER BY line_no) AS l FROM p WHERE item_no IS NOT NULL GROUP BY ALL),
+two AS (SELECT doc_id, region, item_no, string_agg(cells, ' ' ORDER BY line_no) AS r FROM b WHERE item_no IS NOT NULL GROUP BY ALL),
+rows AS (SELECT coalesce(one.doc_id, two.doc_id) AS doc_id, coalesce(one.region, two.region) AS region, coalesce(one.item_no, two.item_no) AS item_no, {_CLEAN.format("coalesce(l, '') || ' ' || coalesce(r, '')")} AS cells
+  FROM one FULL JOIN two ON one.doc_id = two.doc_id AND one.region = two.region AND one.item_no = two.item_no
+  UNION ALL SELECT doc_id, region, item_no, {_CLEAN.format("cells")} FROM p WHERE item_no IS NULL UNION ALL SELECT doc_id, region, item_no, {_CLEAN.format("cells")} FROM b WHERE item_no IS NULL)
+SELECT doc_id, region::BIGINT AS region, item_no, cells, row_number() OVER (PARTITION BY doc_id, region ORDER BY item_no NULLS LAST, cells)::INT AS place FROM rows""")
 def q31_merged_rows(spark, sf_dir):
-    units, key = tables.with_region(_units(spark, sf_dir)), ["doc_id", "region"]
-    return tables.merged_rows(tables.pipe_rows(units, key), tables.borderless_rows(units, key), key).drop("region")
+    units, key = tables.with_region(_repeated(spark, sf_dir)), ["doc_id", "region"]
+    return tables.merged_rows(tables.pipe_rows(units, key), tables.borderless_rows(units, key), key)
 
 
 @query(f"""WITH {_L}, r AS (SELECT doc_id, line_no, {_ITEM.format(f"({_CELLS})[1]")} AS item_no, {_CELLS} AS c FROM lines WHERE {_PIPES}),

@@ -38,6 +38,3 @@ def read_json_units(spark: SparkSession, path: str, depth: int = 6) -> DataFrame
         level = level.select("doc_id", F.try_variant_get("v", "$.id", "string").alias("parent_id"), F.explode(kids(F.col("v"))).alias("v"))
     return out.where("type is not null")
 
-
-def pages_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

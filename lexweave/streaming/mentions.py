@@ -1,7 +1,8 @@
 """Extension: the stateless generators over a stream of texts, and an edge table kept by micro-batches.
 
-Generators carry no state, so they run unchanged on readStream; only the in-degree needs an aggregation, which is kept as
-one written delta a batch and summed on read, so a replayed batch overwrites its own delta and counts once.
+Generators carry no state, so they run unchanged on readStream; only the in-degree needs an aggregation. Each batch's
+distinct edges are written under its number, so a replayed batch overwrites its own, and an edge counts once however many
+batches hold it.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ def stream_mentions(texts: DataFrame) -> DataFrame:
 
 
 def keep_edges(texts: DataFrame, folder: str, checkpoint: str):
-    """Start a query that writes each batch's edge counts to folder/batch=n."""
+    """Start a query that writes each batch's edges to folder/batch=n."""
 
     def write(batch: DataFrame, number: int) -> None:
-        outgoing_edges(batch).groupBy("dst").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        outgoing_edges(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def in_degrees(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder).groupBy("dst").agg(F.sum("n").alias("n"))
+    return spark.read.parquet(folder).select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("n"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lexweave.plans.queries import QUERIES, SQL
+from lexweave.plans.queries_documents import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 SOME = ["q01_top_referenced", "q02_outgoing_targets", "q09_all_mentions", "q11_containment", "q13_resolution", "q18_numbering_and_merge", "q21_markdown_scan", "q23_units", "q26_footnotes", "q31_merged_rows", "q37_loss", "q41_cells_by_gap", "q46_styled_lines"]
