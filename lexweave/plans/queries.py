@@ -562,7 +562,15 @@ def q49_positioned_round_trip(spark, sf_dir):
     return lines.positioned_lines(docs).select(_C("doc_id").cast("int").alias("line_no"), "page", "x", "y", "font", "bold", "text")
 
 
-@query()
+# Sequential rules as recursive SQL: one step a row, with the state in a list
+
+
+@query(f"""WITH RECURSIVE {_S}, xs AS (SELECT page, x::DOUBLE AS x, row_number() OVER (PARTITION BY page ORDER BY x) AS r, count(*) OVER (PARTITION BY page) AS n FROM spans),
+fold AS (SELECT DISTINCT page, 0::BIGINT AS r, []::DOUBLE[] AS anchors FROM spans
+  UNION ALL SELECT f.page, xs.r, CASE WHEN len(f.anchors) > 0 AND xs.x - f.anchors[-1] <= 55 THEN list_append(f.anchors[1:len(f.anchors) - 1], (f.anchors[-1] + xs.x) / 2) ELSE list_append(f.anchors, xs.x) END FROM fold f JOIN xs ON xs.page = f.page AND xs.r = f.r + 1),
+found AS (SELECT f.page, f.anchors FROM fold f JOIN (SELECT page, max(r) AS r FROM xs GROUP BY page) e ON f.page = e.page AND f.r = e.r),
+placed AS (SELECT s.page, s.ord, s.x, s.text, list_transform(anchors, lambda a: abs(a - s.x::DOUBLE)) AS gaps, (round_even(y / 4.0, 0) * 4)::INT AS row_y FROM spans s JOIN found USING (page))
+SELECT page, row_y, (list_position(gaps, list_min(gaps)) - 1)::INT AS col, string_agg(text, ' ' ORDER BY x, ord, text) AS cell FROM placed GROUP BY ALL""")
 def q50_column_anchors(spark, sf_dir):
     s = _spans(spark, sf_dir)
     found = layout.column_anchors(s, ["page"])
@@ -616,12 +624,38 @@ def q19_relative_references(spark, sf_dir):
     return found.select("doc_id", "line_no", "anchor", level.alias("level"), mentions.relative_target(level).alias("target_id"))
 
 
-@query()
+_OPENED = """opened_at AS (SELECT doc_id, line_no, arg_max(unit_id, ord) AS unit_id, arg_max(section_id, ord) AS section_id, arg_max(subsection_id, ord) AS subsection_id, arg_max(clause_id, ord) AS clause_id, arg_max(sub_clause_id, ord) AS sub_clause_id, arg_max(item_id, ord) AS item_id FROM tree GROUP BY ALL)"""
+_TEXT_COLUMNS = "doc_id, line_no, text, unit_id, section_id, subsection_id, clause_id, sub_clause_id, item_id"
+_TOKENS = r"list_filter(list_transform(string_split_regex(numbers, '(?i),|\band\b|\bor\b|to'), lambda x: regexp_replace(trim(x), '^\(+|\)+$', '', 'g')), lambda x: x <> '')"
+
+
+def _detected_sql(express: str, rules: str) -> str:
+    """What follows a table `texts` with the open ids: mentions of three classes, one an anchor, with their targets."""
+    classes = " UNION ALL ".join(f"SELECT {i} AS cls, '{k}' AS kind, * FROM ({_located_sql(p, 'texts', _TEXT_COLUMNS)})" for i, (k, p) in enumerate((("external", P.EXTERNAL), ("express", P.EXPRESS), ("relative", P.RELATIVE))))
+    level = f"lower(regexp_extract(anchor, {q(P.RELATIVE)}, 1))"
+    prefix = f"lower(regexp_extract(anchor, {q(P.EXPRESS)}, 1))"
+    own = f"CASE {level} WHEN 'section' THEN section_id WHEN 'sub-section' THEN subsection_id WHEN 'clause' THEN clause_id WHEN 'sub-clause' THEN sub_clause_id WHEN 'item' THEN item_id END"
+    return f"""found AS ({classes}), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, anchor ORDER BY cls, start) AS r FROM found) WHERE r = 1),
+outside AS (SELECT * FROM firsts f WHERE NOT (kind = 'express' AND EXISTS (SELECT 1 FROM firsts e WHERE e.kind = 'external' AND e.doc_id = f.doc_id AND e.line_no = f.line_no AND contains(e.anchor, f.anchor)))),
+numbered AS (SELECT *, regexp_extract(anchor, {q(P.EXPRESS)}, 2) AS numbers FROM outside),
+aimed AS (SELECT *, CASE kind WHEN 'external' THEN [concat_ws(':', 'external', trim(regexp_extract(anchor, {q(P.EXTERNAL)}, 2)), regexp_extract(anchor, {q(P.EXTERNAL)}, 1))] WHEN 'express' THEN {express}
+  ELSE [coalesce({own}, item_id, sub_clause_id, clause_id, subsection_id, section_id, 'unknown')] END AS targets,
+  CASE WHEN kind = 'external' THEN 'external_act' WHEN kind = 'relative' THEN replace({level}, '-', '_') WHEN starts_with({prefix}, 'sub-section') THEN 'subsection' WHEN starts_with({prefix}, 'sub-clause') THEN 'sub_clause'
+    WHEN starts_with({prefix}, 'clause') THEN 'clause' WHEN starts_with({prefix}, 'item') THEN 'item' ELSE 'section' END AS target_type, {rules}, CASE WHEN kind = 'relative' THEN 'medium' ELSE 'high' END AS confidence FROM numbered)
+SELECT {_TEXT_COLUMNS}, cls, kind, ord, anchor, start, "end", target_type, relationship, confidence"""
+
+
+@query(f"WITH {_PATH}, {_OPENED}, texts AS (SELECT l.text, o.* FROM lines l JOIN opened_at o USING (doc_id, line_no)), {_detected_sql(_TOKENS, _lookback_sql(P.LOOKBACK60, 60, 'refers_to'))}, unnest(targets) AS target_id, (generate_subscripts(targets, 1) - 1)::INT AS n FROM aimed")
 def q56_detected_lookback60(spark, sf_dir):
     return mentions.detected(pipeline.open_texts(_units(spark, sf_dir)), _KEY)
 
 
-@query()
+_NONE = ", ".join(f"NULL::VARCHAR AS {c}" for c in ("subsection_id", "clause_id", "sub_clause_id", "item_id"))
+
+
+@query(f"""WITH {_L}, simple AS ({SQL["q54_simple_parser"].partition("lines AS (" + lines_sql() + "),")[2].join(("WITH ", ""))}),
+under AS (SELECT l.doc_id, l.line_no, l.text, last_value(s.unit_id IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unit_id FROM lines l LEFT JOIN simple s USING (doc_id, line_no)),
+texts AS (SELECT *, split_part(unit_id, '-', 1) AS section_id, {_NONE} FROM under), {_detected_sql(_EXPANDED, _lookback_sql(P.LOOKBACK70, 70, "related_to"))}, array_to_string(targets, ',') AS target_id, 0 AS n FROM aimed""")
 def q57_agent_pipeline(spark, sf_dir):
     return pipeline.agent(_units(spark, sf_dir))
 
@@ -650,26 +684,45 @@ def q61_column_keys(spark, sf_dir):
     return _table(spark, sf_dir, "nation", "n_nationkey").select(_C("n_nationkey").alias("i"), T.column_key(_C("n_nationkey") * 3).alias("column_name"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_S}, l AS (SELECT page AS doc_id, ord AS line_no, (x % 60)::DOUBLE AS x, row_number() OVER (PARTITION BY page ORDER BY ord) AS r FROM spans),
+fold AS (SELECT DISTINCT doc_id, NULL::BIGINT AS line_no, 0::BIGINT AS r, []::DOUBLE[] AS stack FROM l
+  UNION ALL SELECT l.doc_id, l.line_no, l.r, CASE WHEN coalesce(list_max(list_filter(f.stack, lambda v: v <= l.x + 2)) + 2 < l.x, true) THEN list_append(list_filter(f.stack, lambda v: v <= l.x + 2), l.x) ELSE list_filter(f.stack, lambda v: v <= l.x + 2) END
+  FROM fold f JOIN l ON l.doc_id = f.doc_id AND l.r = f.r + 1)
+SELECT doc_id, line_no, (len(stack) - 1)::INT AS depth FROM fold WHERE r > 0""")
 def q62_list_depths(spark, sf_dir):
     s = _spans(spark, sf_dir)
     return layout.list_depths(s.select(_C("page").alias("doc_id"), _C("ord").alias("line_no"), (_C("x") % 60).alias("x")))
 
 
-@query()
+@query("""WITH RECURSIVE glyphs AS (SELECT (p_partkey // 20)::INT AS page, (p_partkey % 9)::DOUBLE AS y FROM part),
+firsts AS (SELECT page, 0 AS line, min(y) AS y FROM glyphs GROUP BY page
+  UNION ALL SELECT f.page, f.line + 1, min(g.y) FROM firsts f JOIN glyphs g ON g.page = f.page AND g.y - f.y > 3 GROUP BY f.page, f.line, f.y)
+SELECT page, line::INT AS line, y FROM firsts""")
 def q63_line_clusters(spark, sf_dir):
     return layout.line_clusters(_glyphs(spark, sf_dir).withColumnRenamed("line", "page"), ["page"])
 
 
-@query()
+@query(rf"""WITH {_L}, bare AS (SELECT doc_id, line_no, CASE WHEN kind = 12 THEN doc_id % 9 || '.' ELSE text END AS text FROM lines),
+marked AS (SELECT *, try_cast(nullif(regexp_extract(trim(text), '^(\d+)\.$', 1), '') AS INT) AS item_no FROM bare),
+cut AS (SELECT *, sum(CASE WHEN item_no IS NOT NULL OR upper(regexp_replace(text, '[|*_\s]', '', 'g')) = 'TABLE' OR regexp_matches(trim(text), {q(P.CHAPTER)}) OR regexp_matches(trim(text), '^\d+[A-Z]?\.\s*\(') OR regexp_matches(trim(text), '^\s*\[?\(\s*\d+\s*\)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS session FROM marked),
+heads AS (SELECT doc_id, session, max(item_no) AS item_no, {_CLEAN.format("string_agg(text, ' ' ORDER BY line_no)")} AS raw_text, min(line_no) AS line_no FROM cut GROUP BY doc_id, session),
+known AS (SELECT DISTINCT doc_id, {_ITEM.format(f"({_CELLS})[1]")} AS item_no FROM lines WHERE {_PIPES})
+SELECT doc_id, item_no, raw_text, line_no FROM heads h WHERE item_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.doc_id = h.doc_id AND k.item_no = h.item_no)""")
 def q64_displaced_rows(spark, sf_dir):
     rows = tables.pipe_rows(_units(spark, sf_dir), ["doc_id"])
     bare = _units(spark, sf_dir).withColumn("text", F.when(_C("kind") == 12, F.concat((_C("doc_id") % 9).cast("string"), F.lit("."))).otherwise(_C("text")))
     return tables.displaced_rows(bare, rows, ["doc_id"])
 
 
-@query()
+@query(f"""WITH {_REPEATED}, r AS (SELECT doc_id, region, line_no, {_ITEM.format(f"({_CELLS})[1]")} AS item_no, array_to_string({_CELLS}, '|') AS cells FROM stretches WHERE {_PIPES}
+  UNION ALL SELECT doc_id, region, line_no, NULL, array_to_string({_LOOSE}, '|') FROM stretches WHERE {_BORDERLESS}),
+o AS (SELECT *, bool_or(item_no IS NOT NULL) OVER (PARTITION BY doc_id, region) AS own, row_number() OVER (PARTITION BY doc_id, region ORDER BY line_no) AS nth FROM r),
+s AS (SELECT *, sum(CASE WHEN own THEN (item_no IS NOT NULL)::INT ELSE (nth > 1)::INT END) OVER (PARTITION BY doc_id, region ORDER BY line_no) AS session FROM o WHERE own OR nth = 1 OR trim(replace(cells, '|', '')) <> ''),
+c AS (SELECT doc_id, region, session, line_no, unnest(string_split(cells, '|')) AS cell, generate_subscripts(string_split(cells, '|'), 1) AS col FROM s),
+j AS (SELECT doc_id, region, session, col, {_CLEAN.format("string_agg(cell, ' ' ORDER BY line_no)")} AS cell FROM c GROUP BY ALL),
+n AS (SELECT doc_id, region, session, max(CASE WHEN own THEN item_no WHEN session > 0 THEN session::INT END) AS item_no FROM s GROUP BY ALL)
+SELECT doc_id, region::BIGINT AS region, session::BIGINT AS session, string_agg(cell, '|' ORDER BY col) AS cells, any_value(item_no) AS item_no, session = 0 AS is_header FROM j JOIN n USING (doc_id, region, session) GROUP BY doc_id, region, session""")
 def q65_row_continuations(spark, sf_dir):
-    units, key = tables.with_region(_units(spark, sf_dir)), ["doc_id", "region"]
+    units, key = tables.with_region(_repeated(spark, sf_dir)), ["doc_id", "region"]
     rows = tables.pipe_rows(units, key).unionByName(tables.borderless_rows(units, key).withColumn("item_no", F.lit(None).cast("int")))
     return tables.with_continuations(rows, key)
