@@ -89,11 +89,14 @@ def split_pipe_row(c) -> Column:
     return F.transform(F.slice(cells, first, F.greatest(last - first + 1, F.lit(0))), clean_text)
 
 
-def item_number(c) -> Column:
-    """(number, body) of ``(n) body``, ``n. body`` or a bare number; the dot is needed before a body."""
+def item_number(c, placed: bool = False) -> Column:
+    """(number, body) of ``(n) body``, ``n. body`` or a bare number; the dot is needed before a body.
+
+    placed: the form of placed lines, where no space is needed and a bare number without dot or parentheses is text.
+    """
     t = F.trim(_col(c))
-    body = r"^(?:\((\d+)\)|(\d+)\.)\s+(\S.*)$"
-    bare = r"^\(?(\d+)\)?\.?$"
+    body = r"^(?:\((\d+)\)|(\d+)\.)\s*(\S.*)$" if placed else r"^(?:\((\d+)\)|(\d+)\.)\s+(\S.*)$"
+    bare = r"^(?:\((?=\d+\)))?(\d+)[.)]$" if placed else r"^\(?(\d+)\)?\.?$"
     number = F.coalesce(F.nullif(F.regexp_extract(t, body, 1), F.lit("")), F.nullif(F.regexp_extract(t, body, 2), F.lit("")), F.nullif(F.regexp_extract(t, bare, 1), F.lit("")))
     rest = F.when(t.rlike(body), F.regexp_extract(t, body, 3)).when(t.rlike(bare), F.lit("")).otherwise(t)
     return F.struct(number.cast("int").alias("item_no"), rest.alias("body"))

@@ -40,9 +40,10 @@ def word_positions(pages: DataFrame, key: list[str], reach: int = 4) -> DataFram
 
 
 def missing_occurrences(missing: DataFrame, positions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The first n places of each word missing n times."""
-    w = Window.partitionBy(key, "token").orderBy("pos")
-    return positions.withColumnRenamed("word", "token").join(missing, [key, "token"]).withColumn("r", F.row_number().over(w)).where("r <= n").select(key, "token", "pos", "snippet")
+    """The first n places of each word missing n times, by page where the positions have one."""
+    place = [c for c in ("page", "pos") if c in positions.columns]
+    w = Window.partitionBy(key, "token").orderBy(*place)
+    return positions.withColumnRenamed("word", "token").join(missing, [key, "token"]).withColumn("r", F.row_number().over(w)).where("r <= n").select(key, "token", *place, "snippet")
 
 
 def most_missing(missing: DataFrame, k: int = 20, key: str = "doc_id") -> DataFrame:

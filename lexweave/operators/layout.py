@@ -76,6 +76,15 @@ def line_clusters(chars: DataFrame, key: list[str], tolerance: float = 3.0) -> D
     return ys.select(*key, F.posexplode(firsts).alias("line", "y"))
 
 
+def glyph_lines(chars: DataFrame, key: list[str], tolerance: float = 3.0) -> DataFrame:
+    """Glyphs with the line they stand on: lines come from the glyphs that are no superscripts, and every glyph goes to the
+    nearest line by height, of two equally near to the upper one."""
+    plain = line_clusters(chars.where(~F.col("superscript")), key, tolerance)
+    firsts = plain.groupBy(*key).agg(F.array_sort(F.collect_list("y")).alias("firsts"))
+    gaps = F.transform("firsts", lambda y: F.abs(y - F.col("y0")))
+    return chars.join(firsts, key, "left").withColumn("on_line", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")).drop("firsts")
+
+
 def visual_rows(lines: DataFrame, key: list[str], step: int = 4) -> DataFrame:
     """Lines of one visual row share y rounded half-even to a multiple of step."""
     return lines.withColumn("row_y", (F.bround(F.col("y") / step) * step).cast("int")).groupBy(*key, "row_y").agg(F.count("*").alias("n"), F.min("x").alias("x"))
@@ -127,20 +136,26 @@ def table_regions(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def list_depths(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Depth of list lines from a stack of indents: state that depends on its own history, so a fold a document."""
+    """Depth of list lines from a stack of indents: state that depends on its own history, so a fold a document. The stack
+    goes on over pages; a row whose column ``resets`` is true (a heading or a table), if there is one, empties it and has no depth."""
+    resets = F.col("resets") if "resets" in lines.columns else F.lit(False)
 
     def fold(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
             page, stack, out = page.sort_values("line_no"), [], []
-            for x in page["x"]:
+            for x, empties in zip(page["x"], page["resets"]):
+                if empties:
+                    stack.clear()
+                    out.append(None)
+                    continue
                 while stack and stack[-1] > x + 2:
                     stack.pop()
                 if not stack or x > stack[-1] + 2:
                     stack.append(x)
                 out.append(len(stack) - 1)
-            yield page.assign(depth=out)[[key, "line_no", "depth"]]
+            yield page.assign(depth=pd.array(out, dtype="Int32"))[[key, "line_no", "depth"]]
 
-    return lines.select(key, "line_no", F.col("x").cast("double").alias("x")).groupBy(key).applyInPandas(lambda page: next(fold(iter([page]))), f"{key} {lines.schema[key].dataType.simpleString()}, line_no {lines.schema['line_no'].dataType.simpleString()}, depth int")
+    return lines.select(key, "line_no", F.col("x").cast("double").alias("x"), F.coalesce(resets, F.lit(False)).alias("resets")).groupBy(key).applyInPandas(lambda page: next(fold(iter([page]))), f"{key} {lines.schema[key].dataType.simpleString()}, line_no {lines.schema['line_no'].dataType.simpleString()}, depth int")
 
 
 def positioned_text(lines: DataFrame) -> Column:

@@ -166,8 +166,8 @@ def merge_references(existing: DataFrame, new: DataFrame, unit: list[str]) -> Da
 def detected(units: DataFrame, key: list[str], style: str = "lookback60") -> DataFrame:
     """External, express and relative references of each unit.
 
-    style lookback60: one row a number; lookback70: ranges are expanded into one list and anchors inside an earlier
-    anchor are passed over.
+    An express anchor inside the anchor of another act's section is passed over. style lookback60: one row a number;
+    lookback70: ranges are expanded into one list, and express anchors inside an earlier express one are passed over too.
     """
     kinds = (("external", P.EXTERNAL), ("express", P.EXPRESS), ("relative", P.RELATIVE))
     found = F.array(*(F.struct(F.lit(i).alias("cls"), F.lit(k).alias("kind"), located_matches(F.col("text"), p).alias("m")) for i, (k, p) in enumerate(kinds)))
@@ -175,9 +175,9 @@ def detected(units: DataFrame, key: list[str], style: str = "lookback60") -> Dat
     rows = rows.select(*units.columns, "cls", "kind", "ord", F.col("s.text").alias("anchor"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     first = Window.partitionBy(*key, "anchor").orderBy("cls", "start")
     rows = rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    earlier = rows.where("kind = 'external'").select(*key, F.col("anchor").alias("outer"))
+    earlier = rows.where("kind = 'external'" if style == "lookback60" else "kind in ('external', 'express')").select(*key, "kind", "start", F.col("anchor").alias("outer"))
     a, e = rows.alias("a"), earlier.alias("e")
-    on = (F.col("a.kind") == "express") & F.expr("contains(e.outer, a.anchor)")
+    on = (F.col("a.kind") == "express") & F.expr("contains(e.outer, a.anchor)") & ((F.col("e.kind") == "external") | (F.col("e.start") < F.col("a.start")))
     for k in key:
         on = on & (F.col(f"a.{k}") == F.col(f"e.{k}"))
     rows = a.join(e, on, "left_anti")

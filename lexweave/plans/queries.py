@@ -629,14 +629,14 @@ _TEXT_COLUMNS = "doc_id, line_no, text, unit_id, section_id, subsection_id, clau
 _TOKENS = r"list_filter(list_transform(string_split_regex(numbers, '(?i),|\band\b|\bor\b|to'), lambda x: regexp_replace(trim(x), '^\(+|\)+$', '', 'g')), lambda x: x <> '')"
 
 
-def _detected_sql(express: str, rules: str) -> str:
+def _detected_sql(express: str, rules: str, earlier: str = "e.kind = 'external'") -> str:
     """What follows a table `texts` with the open ids: mentions of three classes, one an anchor, with their targets."""
     classes = " UNION ALL ".join(f"SELECT {i} AS cls, '{k}' AS kind, * FROM ({_located_sql(p, 'texts', _TEXT_COLUMNS)})" for i, (k, p) in enumerate((("external", P.EXTERNAL), ("express", P.EXPRESS), ("relative", P.RELATIVE))))
     level = f"lower(regexp_extract(anchor, {q(P.RELATIVE)}, 1))"
     prefix = f"lower(regexp_extract(anchor, {q(P.EXPRESS)}, 1))"
     own = f"CASE {level} WHEN 'section' THEN section_id WHEN 'sub-section' THEN subsection_id WHEN 'clause' THEN clause_id WHEN 'sub-clause' THEN sub_clause_id WHEN 'item' THEN item_id END"
     return f"""found AS ({classes}), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, anchor ORDER BY cls, start) AS r FROM found) WHERE r = 1),
-outside AS (SELECT * FROM firsts f WHERE NOT (kind = 'express' AND EXISTS (SELECT 1 FROM firsts e WHERE e.kind = 'external' AND e.doc_id = f.doc_id AND e.line_no = f.line_no AND contains(e.anchor, f.anchor)))),
+outside AS (SELECT * FROM firsts f WHERE NOT (kind = 'express' AND EXISTS (SELECT 1 FROM firsts e WHERE ({earlier}) AND e.doc_id = f.doc_id AND e.line_no = f.line_no AND contains(e.anchor, f.anchor)))),
 numbered AS (SELECT *, regexp_extract(anchor, {q(P.EXPRESS)}, 2) AS numbers FROM outside),
 aimed AS (SELECT *, CASE kind WHEN 'external' THEN [concat_ws(':', 'external', trim(regexp_extract(anchor, {q(P.EXTERNAL)}, 2)), regexp_extract(anchor, {q(P.EXTERNAL)}, 1))] WHEN 'express' THEN {express}
   ELSE [coalesce({own}, item_id, sub_clause_id, clause_id, subsection_id, section_id, 'unknown')] END AS targets,
@@ -655,7 +655,7 @@ _NONE = ", ".join(f"NULL::VARCHAR AS {c}" for c in ("subsection_id", "clause_id"
 
 @query(f"""WITH {_L}, simple AS ({SQL["q54_simple_parser"].partition("lines AS (" + lines_sql() + "),")[2].join(("WITH ", ""))}),
 under AS (SELECT l.doc_id, l.line_no, l.text, last_value(s.unit_id IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unit_id FROM lines l LEFT JOIN simple s USING (doc_id, line_no)),
-texts AS (SELECT *, split_part(unit_id, '-', 1) AS section_id, {_NONE} FROM under), {_detected_sql(_EXPANDED, _lookback_sql(P.LOOKBACK70, 70, "related_to"))}, array_to_string(targets, ',') AS target_id, 0 AS n FROM aimed""")
+texts AS (SELECT *, split_part(unit_id, '-', 1) AS section_id, {_NONE} FROM under), {_detected_sql(_EXPANDED, _lookback_sql(P.LOOKBACK70, 70, "related_to"), "e.kind = 'external' OR e.kind = 'express' AND e.start < f.start")}, array_to_string(targets, ',') AS target_id, 0 AS n FROM aimed""")
 def q57_agent_pipeline(spark, sf_dir):
     return pipeline.agent(_units(spark, sf_dir))
 

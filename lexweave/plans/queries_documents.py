@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as T
 from ..operators import fold, hierarchy, layout, lines, mentions, tables
 from ..operators.finish import document_json
 from ..operators.positioned import parsed_positioned
@@ -40,10 +41,11 @@ def q66_positioned_units(spark, sf_dir):
 @query(rf"""WITH {_PLACED}, s AS (SELECT *, regexp_matches(text, '^\d+[A-Z]?\.') AND x <= 30.5 AS section_start FROM placed)
 SELECT doc_id, line_no, section_start, trim(text) IN ({", ".join(map(q, P.BANNERS))}) OR (regexp_matches(trim(text), '^\d+$') AND font <= 7.5) AS furniture,
   section_start OR (regexp_matches(text, '^\([a-z]\)\s') AND x <= 45) OR regexp_matches(text, {q(P.EXPLANATION)}) OR regexp_matches(text, {q(P.PROVISO)}) OR regexp_matches(text, {q(P.ILLUSTRATION)}) AS post_table,
-  regexp_matches({_CLEAN.format("text")}, '^(?:[A-Z]\s+){{2,}}[A-Z]$') AS column_letters FROM s""")
+  regexp_matches({_CLEAN.format("text")}, '^(?:[A-Z]\s+){{2,}}[A-Z]$') AS column_letters, upper(regexp_replace(text, '[|*_\s]', '', 'g')) = 'TABLE' OR regexp_matches(trim(text), '(?i)^Sl\.\s*No\.?\b') AS table_title FROM s""")
 def q67_positioned_flags(spark, sf_dir):
     return _placed(spark, sf_dir).select(
-        "doc_id", "line_no", lines.is_section_start_at().alias("section_start"), lines.is_header_or_page_number().alias("furniture"), lines.is_post_table_body().alias("post_table"), lines.is_column_letters().alias("column_letters")
+        "doc_id", "line_no", lines.is_section_start_at().alias("section_start"), lines.is_header_or_page_number().alias("furniture"), lines.is_post_table_body().alias("post_table"), lines.is_column_letters().alias("column_letters"),
+        lines.is_table_title().alias("table_title"),
     )
 
 
@@ -160,6 +162,23 @@ def q78_superscripts(spark, sf_dir):
     return layout.superscripts(_spans(spark, sf_dir), ["page"]).select("ord", "superscript")
 
 
+@query(f"""WITH RECURSIVE {_G}, chars AS (SELECT g.*, (ord % 9)::DOUBLE AS y0 FROM glyphs g),
+firsts AS (SELECT line, 0 AS n, min(y0) AS y FROM chars WHERE NOT superscript GROUP BY line
+  UNION ALL SELECT f.line, f.n + 1, min(g.y0) FROM firsts f JOIN chars g ON g.line = f.line AND NOT g.superscript AND g.y0 - f.y > 3 GROUP BY f.line, f.n, f.y)
+SELECT c.ord, arg_min(f.n, (abs(f.y - c.y0), f.n))::INT AS on_line FROM chars c LEFT JOIN firsts f ON f.line = c.line GROUP BY c.ord""")
+def q81_glyph_lines(spark, sf_dir):
+    return layout.glyph_lines(_glyphs(spark, sf_dir).withColumnRenamed("line", "page"), ["page"]).select("ord", "on_line")
+
+
+@query(r"""WITH w AS (SELECT n_nationkey AS i, ['(3) abc', '4.def', '5.', '7', '10%', '(6)', '8. x'][n_nationkey % 7 + 1] AS t FROM nation),
+m AS (SELECT *, regexp_extract(t, '^(?:\((\d+)\)|(\d+)\.)\s*(.*)$', 1) || regexp_extract(t, '^(?:\((\d+)\)|(\d+)\.)\s*(.*)$', 2) AS n FROM w)
+SELECT i, try_cast(nullif(n, '') AS INT) AS item_no, CASE WHEN n <> '' THEN regexp_extract(t, '^(?:\((\d+)\)|(\d+)\.)\s*(.*)$', 3) ELSE t END AS body FROM m""")
+def q82_placed_item_numbers(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, ("(3) abc", "4.def", "5.", "7", "10%", "(6)", "8. x"))), (_C("n_nationkey") % 7 + 1).cast("int"))
+    item = T.item_number(said, placed=True)
+    return _table(spark, sf_dir, "nation", "n_nationkey").select(_C("n_nationkey").alias("i"), item["item_no"].alias("item_no"), item["body"].alias("body"))
+
+
 _FIRST = """cut AS (SELECT *, line // 7 AS region, CASE WHEN x0 - (lag(x0) OVER (PARTITION BY line ORDER BY x0, ord) + 5) > 18 THEN 1 ELSE 0 END AS cut FROM glyphs),
 celled AS (SELECT *, sum(cut) OVER (PARTITION BY line ORDER BY x0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cell FROM cut),
 cells AS (SELECT region, line, cell, min(x0) AS x FROM celled GROUP BY ALL), tails AS (SELECT region, line, max(cell) AS cell, arg_max(x, x) AS x FROM cells GROUP BY ALL),

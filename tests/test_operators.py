@@ -166,6 +166,32 @@ def test_stream_counts_a_replayed_batch_once(spark, tmp_path):
     assert {r.dst: r.n for r in in_degrees(spark, str(tmp_path / "edges")).collect()} == {"5": 1, "7": 1}
 
 
+def test_list_depths_go_on_over_pages_and_start_anew_after_a_heading(spark):
+    rows = spark.createDataFrame([("d", 1, 10.0, False), ("d", 2, 20.0, False), ("d", 3, 20.5, False), ("d", 4, 5.0, True), ("d", 5, 20.0, False), ("d", 6, 30.0, None)], "doc_id string, line_no int, x double, resets boolean")
+    assert [r.depth for r in layout.list_depths(rows).orderBy("line_no").collect()] == [0, 1, 1, None, 0, 1]
+
+
+def test_missing_words_come_by_page(spark):
+    pages = spark.createDataFrame([("d", 2, "a b a"), ("d", 1, "x a")], "doc_id string, page int, text string")
+    missing = spark.createDataFrame([("d", "a", 2)], "doc_id string, token string, n long")
+    found = audit.missing_occurrences(missing, audit.word_positions(pages, ["doc_id", "page"])).orderBy("page").collect()
+    assert [(r.page, r.pos, r.snippet) for r in found] == [(1, 1, "x a"), (2, 0, "a b a")]
+
+
+def test_anchors_inside_earlier_ones_are_passed_over(spark):
+    null = "cast(null as string) "
+    texts = _lines(spark, ["section 51 and section 5 of this"]).selectExpr("doc_id", "line_no", "text", "'9' unit_id", "'9' section_id", *(null + c for c in ("subsection_id", "clause_id", "sub_clause_id", "item_id")))
+    targets = lambda style: [r.target_id for r in mentions.detected(texts, ["doc_id", "line_no"], style).orderBy("start").collect()]
+    assert targets("lookback60") == ["51", "5"] and targets("lookback70") == ["51"]
+
+
+def test_seven_levels_open_items_of_items(spark):
+    texts = ["5. (1) a", "(a) b", "(i) c", "(A) d", "(I) e", "(B) f"]
+    ids = lambda levels: [r.unit_id for r in fold.parsed(_fold_lines(spark, texts), levels).orderBy("place").collect()]
+    assert ids(7) == ["5", "5-1", "5-1-a", "5-1-a-i", "5-1-a-i-A", "5-1-a-i-A-I", "5-1-a-i-B"]
+    assert ids(6)[-2:] == ["5-1-a-i-I", "5-1-a-i-B"]
+
+
 def _placed(spark, rows):
     """(page, x, y, text) or with bold and font."""
     full = [(1, r[0], i + 1, float(r[1]), float(r[2]), float(r[5]) if len(r) > 5 else 9.0, bool(r[4]) if len(r) > 4 else False, r[3]) for i, r in enumerate(rows)]
