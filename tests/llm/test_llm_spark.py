@@ -1,7 +1,13 @@
 """The operators on Spark: awkward rows, empty tables, repeated rows, clashing columns; and the pipeline."""
 
 import hashlib
+import math
+import re
+import zlib
+from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,13 +16,16 @@ import corpus_pipeline
 from lexweave.llm.additive_ann import search
 from lexweave.llm.chat import conversation_records, format_records, read_back
 from lexweave.llm.hmm import score_documents
-from lexweave.llm.line_dedup import line_report
-from lexweave.llm.minhash import _prefix_joined, near_groups, shingle_sets
+from lexweave.llm.line_dedup import dedup_lines, line_report
+from lexweave.llm.minhash import _prefix_joined, dedup_documents, near_groups, shingle_sets
 from lexweave.llm.mixing import mix, mixed_documents, word_count
 from lexweave.llm.packing import pack
+from lexweave.llm.shared import array_blocks, summed, written
 from lexweave.llm.pq_dedup import near_vectors
 from lexweave.llm.quality import quality_scores
+from lexweave.llm.queries import OP1, OP5, OP6
 from lexweave.llm.token_output import token_round_trip
+from lexweave.llm.tokens import public_path
 
 LINE = "this line is long enough to be a key of forty"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, length int, hash string, n int, component string, k1 int"
@@ -46,12 +55,32 @@ def test_lines(docs, empty):
     assert line_report(empty).count() == 0
 
 
+def test_lines_keep_other_columns(docs, empty):
+    clashing = docs.toDF("doc_id", "text", "bitmap", "doc_id_of_bitmap", "N_lines", "n_dropped", "pos", "k1", "kind", "survivor", "k2")
+    out = dedup_lines(clashing)
+    assert out.columns == [*clashing.columns, "n_lines_", "n_dropped_"]
+    assert {(r.doc_id, r["n_lines_"], r["n_dropped_"]) for r in out.collect()} == {(r.doc_id, r.n_lines, r.n_dropped) for r in line_report(docs).collect()}
+    assert dedup_lines(empty).count() == 0
+
+
 def test_near_documents(docs, empty):
     rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(docs).collect()}
     assert {(10, 56, 10, True), (11, 56, 10, False), (12, 57, 10, False), (13, 0, 13, True), (15, 0, 15, True), (16, 1, 16, True), (None, 1, None, True)} <= rows
     assert near_groups(empty).count() == 0
 
 
+def test_unlike_texts_of_one_id_stay(spark, docs, empty):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = _docs(spark, [(1, words, "a"), (1, "quite another text of some more words", "b"), (2, words + " x", "c"), (1, words, "d"), (3, "alone", "e"), (None, words, "f")])
+    clashing = rows.toDF("doc_id", "text", "row_number_of_dedup", "component_id", "n", "kept", "key", "id", "sketch", "component", "d1")
+    out = dedup_documents(clashing)
+    assert out.columns == clashing.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, words), (1, "quite another text of some more words"), (3, "alone"), (0, words)])
+    assert dedup_documents(empty).count() == 0 and dedup_documents(docs).where("doc_id in (11, 12)").count() == 0
+    groups = {r.doc_id: r.component_id for r in near_groups(rows.unionByName(_docs(spark, [(3, "third text of number three", "a"), (3, words, "a"), (3, "fourth text here", "a"), (9, "third text of number three", "a")]))).collect()}
+    assert groups == {1: 1, 2: 1, 3: 1, 9: 1, None: None}
+
+
 def _around_a_passage(own: int):
     """Texts around one frequent passage, each with words of its own, some of them changed a little: similar at about the threshold."""
     passage = [f"p{i}" for i in range(60)]
@@ -72,9 +101,8 @@ def test_members_of_a_large_bucket_meet_exactly(spark, own):
     texts = _around_a_passage(own)
     sets = [s.astype("int64").tolist() for s in shingle_sets([t.encode() for t in texts])]
     members = spark.createDataFrame([(i, i) for i in range(len(texts))], "id long, component long")
-    found, groups = _prefix_joined(members, spark.createDataFrame(list(enumerate(sets)), "id long, items array<long>"), 75, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long"))
+    groups = _prefix_joined(members, written(spark.createDataFrame(list(enumerate(sets)), "id long, items array<long>"), "test"), 75, spark.createDataFrame([], "id long, component long"))
     links = _links(texts)
-    assert {(r.a, r.b) for r in found.collect()} == links
     if links:  # each id's component is the smallest id it reaches
         root = {i: i for pair in links for i in pair}
         for _ in root:
@@ -163,6 +191,42 @@ def test_tokens_and_packing(docs, empty):
     assert pack(empty).count() == 0
 
 
+def _plain_ids(name, text):
+    from tokenizers import Tokenizer
+
+    tok = _plain_ids.__dict__.setdefault(name, Tokenizer.from_file(public_path(name)))
+    return np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+
+
+def _token_docs(spark):
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(10**6, "a <|endoftext|> b\n<|startoftext|>"), (10**6 + 1, None), (10**6 + 2, ""), (10**6 + 3, "Ünï cödé!? \t\x85 x\n\n y "), (10**6 + 4, "long word " * 4000)]
+    return own.unionByName(spark.createDataFrame(odd, own.schema))
+
+
+def test_token_files_hold_the_ids_of_the_plain_library(spark):
+    docs, start = _token_docs(spark), 0
+    want = {}
+    for r in docs.orderBy("doc_id").collect():
+        ids = _plain_ids("word_bpe_49k.json", r.text)
+        want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_round_trip(docs).collect()} == want
+
+
+def test_packed_pieces_hold_the_ids_of_the_plain_library(spark):
+    docs, at = _token_docs(spark), {}
+    for r in pack(docs).collect():
+        at.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for r in docs.collect():
+        ids, place = _plain_ids("byte_bpe_50k.json", r.text), 0
+        for k, (piece, start, length, crc) in enumerate(sorted(at.pop(r.doc_id))):
+            assert (piece, start) == (k, place) and length <= 1024 and crc == zlib.crc32(ids[start : start + length].tobytes())
+            place += length
+        assert place == len(ids)
+    assert not at
+
+
 def test_language_model(docs, empty):
     rows = score_documents(docs, rounds=1).collect()
     assert len(rows) == docs.count() and all(r.score < 0 and r.base_score < 0 and r.n_known <= r.n_tokens for r in rows)
@@ -170,6 +234,20 @@ def test_language_model(docs, empty):
     assert score_documents(empty).count() == 0
 
 
+def test_base_columns_of_the_language_model_are_those_of_plain_counts(spark, docs):
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)}))) for r in own.collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in [*t, ""])
+    total, distinct = sum(counts.values()), len(counts)
+    want = Counter()
+    for i, t in rows:
+        base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in [*t, ""])
+        want[i, held(i), len(t) + 1, sum(counts[w] > 0 for w in [*t, ""]), total, round(base, 4)] += 1
+    got = score_documents(own, rounds=1).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+
+
 def test_language_model_learns_from_long_documents(spark, monkeypatch):
     long = _docs(spark, [(i, " ".join(f"w{(i * j) % 40}" for j in range(5000)), "a") for i in range(1, 7)])
     score = lambda rounds: sum(r.score for r in score_documents(long, rounds=rounds).where("not held_out").collect())
@@ -180,9 +258,10 @@ def test_language_model_learns_from_long_documents(spark, monkeypatch):
 
 
 def test_chat(spark):
-    turns = spark.createDataFrame([(1, 1, "assistant", "b<|im_end|>", 0), (1, 0, "user", None, 0), (2, None, None, "x", 0), (2, 1, "assistant", "y", 0), (2, 1, "assistant", "y", 0), (None, 0, "user", "z", 0)], "conv_id long, turn long, role string, text string, record int")
+    turns = spark.createDataFrame([(1, 1, "assistant", "b<|im_end|>", 0), (1, 0, "user", None, 0), (2, None, None, "x", 0), (2, 1, "assistant", "y", 0), (2, 1, "assistant", "y", 0), (None, 0, "user", "z", 0), (None, 0, "user", "z", 0)], "conv_id long, turn long, role string, text string, record int")
     rows = {r.conv_id: r for r in read_back(format_records(conversation_records(turns))).collect()}
     assert rows[1].n_turns == 2 and rows[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb<|im_end|>\n").hexdigest() and rows[1].loss_chars == 11
+    assert read_back(format_records(conversation_records(turns))).where("conv_id is null").count() == 2
     assert rows[2].n_turns == 3 and rows[2].loss_sha256 == hashlib.sha256(b"yy").hexdigest() and rows[None].n_turns == 1
     assert read_back(format_records(conversation_records(turns.limit(0)))).count() == 0
     odd = format_records(spark.createDataFrame([(1, "not json"), (2, '{"what": 1}'), (3, None)], "conv_id long, record string")).collect()
@@ -201,22 +280,90 @@ def test_vectors(spark):
     assert search(table.limit(0)).count() == 0 and search(table.where("vec_id = 1")).count() == 0
 
 
+def _sql(sql, docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    return con.execute(sql).fetchall()
+
+
+def _check_quality(before, after, spark, sf):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scores = {r.doc_id: r.predicted for r in quality_scores(before, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    kept = {r.doc_id for r in after.collect()}
+    assert kept == {i for i, p in scores.items() if p == 1}
+    good, bad = ({i for i, q in labels.items() if q == v} for v in (1, 0))
+    assert good <= kept and len(bad & kept) < len(bad) / 2  # no clean document goes, with some seventy labels to learn from
+
+
+def _check_lines(before, after, spark, sf):
+    want = {r[0]: r[3] for r in _sql(OP1, before)}
+    assert {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in after.collect()} == want
+    assert all(r.n_chars == len(r.text) for r in after.collect())
+
+
+def _check_near(before, after, spark, sf):
+    assert sorted(r.doc_id for r in after.collect()) == sorted(r[0] for r in _sql(OP6, before) if r[3])
+
+
+def _check_mixing(before, after, spark, sf):
+    want = Counter({r[0]: r[4] // r[1] for r in _sql(OP5, before) if r[1] and r[4]})
+    assert Counter(r.doc_id for r in after.collect()) == want and sum(want.values())
+    words_of = lambda df: df.select(F.sum(word_count(F.col("text")))).first()[0]
+    assert abs(words_of(after) / words_of(before) - 1.5) < 0.1
+
+
+def _check_packing(before, after, spark, sf):
+    ids = {r.doc_id: len(_plain_ids("byte_bpe_50k.json", r.text)) for r in before.dropDuplicates(["doc_id"]).collect()}
+    held, copies = Counter(), Counter(r.doc_id for r in before.collect())
+    spans = {}
+    for r in after.collect():
+        held[r.doc_id] += r.length
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert held == Counter({i: ids[i] * n for i, n in copies.items()})
+    for places in spans.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(n for _, n in places) <= 1024
+    assert len(spans) <= 1.05 * sum(held.values()) / 1024 + 2
+
+
 def test_pipeline(spark):
+    """Each stage against a plainer way on its own input: SQL of the whole operator, or the plain library."""
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
-        before, docs = docs, corpus_pipeline.written(out, "test")
-        kept, was = docs.count(), before.count()
-        assert 0 < kept <= was * (2 if name.startswith("mixing") else 1), name
-        if name.startswith("mixing"):
-            words_of = lambda df: df.select(F.sum(word_count(F.col("text")))).first()[0]
-            assert abs(words_of(docs) / words_of(before) - 1.5) < 0.25
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    kept = corpus_pipeline.quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n")).collect()
-    kept, was = {r.quality: r.n for r in kept}, {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
-    assert kept[1] == was[1] and kept.get(0, 0) < was[0] / 2  # no clean document goes, with some seventy labels to learn from
-    packed = corpus_pipeline.packing(spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() > 0
-    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
+    first = docs = spark.read.parquet(f"{sf}/documents.parquet")
+    checks = (_check_quality, _check_lines, _check_near, _check_mixing, _check_packing)
+    for (name, stage), check in zip(corpus_pipeline.STAGES, checks, strict=True):
+        out = written(stage(spark, docs, sf), "test")
+        assert out.count() > 0, name
+        if check is not _check_packing:
+            assert out.columns == first.columns and [f.dataType for f in out.schema] == [f.dataType for f in first.schema], name
+        check(docs, out, spark, sf)
+        docs = out
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted((r.doc_id, r.piece, r.length) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.length) for r in docs.collect())
+
+
+def test_pipeline_takes_odd_rows_and_columns(spark, docs, empty):
+    """Null texts and ids, repeated rows, clashing columns, and no rows at all, through every stage."""
+    labelled = "/root/testdata/sf0.001"
+    odd = docs.toDF("doc_id", "text", "lang", "source", "n_chars", "n_dropped", "bitmap", "hash", "base", "__copy", "row_number_of_dedup")
+    for start in (odd, odd.limit(0)):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES:
+            rows = written(stage(spark, rows, labelled), "odd")
+            assert name == "best-fit packing" or rows.columns == odd.columns
+            assert (rows.count() > 0) == (start is odd), name
+
+
+def test_block_sums(spark):
+    want = np.zeros(5000)
+    want[[0, 1023, 1024, 4999]] = [10, 20, 30, 40]
+
+    def parts(batches):
+        for _ in batches:
+            total = np.zeros(5000)
+            total[[0, 1023, 1024, 4999]] = [1, 2, 3, 4]
+            yield from array_blocks(total)
+
+    blocks = spark.range(10, numPartitions=10).mapInArrow(parts, "block int, values binary")
+    assert np.array_equal(summed(blocks, 5000), want)
+    assert np.array_equal(summed(blocks.limit(0), 7), np.zeros(7))
