@@ -2,7 +2,7 @@
 
 1. One scan: each document's set of distinct word shingles (64-bit hashes), a 128-bit digest of the set, a SuperMinHash
    signature, and the signature's band keys. Equal sets form a class; only its smallest document goes on.
-2. Band keys met twice are buckets. Pivot rounds: the members of a bucket meet one of them (the smallest, then others
+2. Band keys met twice are buckets. Pivot rounds: the members of a bucket meet one of them (the smallest, then another
    at random), and pairs are verified on the full sets. Before that, sizes and one-bit sketches (a bit of each signature
    value) rule pairs out that hardly reach the similarity; a pair ruled out wrongly is met again in step 3. Verified
    links give components; later rounds only join components, so a round's graph is what is new.
@@ -35,7 +35,7 @@ from .shared import array_blocks, as_bytes, components, drop_written, free_name,
 
 SHINGLE, SHARE = 5, 75
 BANDS, ROWS = 48, 5
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Elements whose signature draws are held at once; short sets need 2 bytes an element and signature value.
 ELEMENTS = 100_000
 #: Bits of the token counters of the prefix join: at least, and at most (32 MB of counters).
@@ -215,7 +215,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: in
     sets = written(own.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
     drop_written(shared)
     groups = None
-    # Pivot rounds: a bucket's members meet one of them, first the smallest, then others at random. Each costs pairs in
+    # Pivot rounds: a bucket's members meet one of them, first the smallest, then another at random. Each costs pairs in
     # the number of members; after them only what is still apart goes on.
     for turn in range(1 + PIVOT_ROUNDS):
         left = _mixed(buckets, groups)

@@ -170,8 +170,8 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))  # repeats go with those of the round
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(floor, "a").select(F.col("b").alias("x"), "m", "a")
         pairs = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
