@@ -2,10 +2,9 @@
 
 A vector is coded as a sum of full-dimensional codewords, one of each residual codebook, found by beam search; the norm
 of what the code leaves over is stored. A query's inner product with a code is a sum of table look-ups, and |q| times
-the stored norm bounds the rest, so a vector is passed over only if it cannot reach the query's k-th best lower bound, in
-its block or among the blocks that the task has seen. The others are reranked one by one by exact inner products in
-double precision: recall is 1 for any fitted codebooks. With ``BOOKS`` books of ``WORDS`` words about a twentieth of a
-unit vector is left over, and less than a tenth of the candidates is reranked even where vectors are pure noise.
+the stored norm bounds the rest. The best by table are multiplied exactly, and a vector is passed over only if it cannot
+reach the k-th best of those, or of the blocks that the task has seen. The others are reranked query by query with exact
+inner products in double precision: recall is 1 for any fitted codebooks.
 
 Every row is indexed; codebooks are fitted on a bounded sample. The stated query set meets all vectors in blocks: vectors
 are packed ``VECTORS`` to a row and queries ``QUERIES`` to a row, dealt by query block and salt. A block of vectors
@@ -32,7 +31,7 @@ from .vectors import k_means, matrix, nearest, sample_matrix, usable
 
 NEIGHBOURS, EVERY = 20, 20
 BOOKS, WORDS, BEAM, SAMPLE = 48, 64, 2, 4096
-VECTORS, QUERIES = 4096, 1024
+VECTORS, QUERIES = 8192, 1024
 
 
 class AdditiveCode:
@@ -58,11 +57,14 @@ class AdditiveCode:
         return codes[np.arange(n), first], left[np.arange(n), first]
 
     def scores(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries and codes, from one table a book."""
-        total = np.zeros((len(q), len(codes)), np.float32)
+        """Inner products of queries and codes in single precision, from one table a book. A table has a row a word with
+        all queries, so a look-up copies a row."""
+        total = np.zeros((len(codes), len(q)), np.float32)
+        one, turned = np.empty_like(total), q.T.astype(np.float32)
         for m, book in enumerate(self.books):
-            total += (q @ book.T).astype(np.float32)[:, codes[:, m]]
-        return total
+            np.take(book.astype(np.float32) @ turned, codes[:, m], axis=0, out=one, mode="clip")
+            total += one
+        return np.ascontiguousarray(total.T)
 
 
 BLOCK = "width int, block long, ids binary, vectors binary, codes binary, left binary"
@@ -113,22 +115,34 @@ def search_block(model: AdditiveCode, q_ids, q, ids, v, codes, left, k: int, flo
     """(query row, id, score) of each query's k best in one block, and how many candidates were reranked; floor is what a
     query's k best reach already."""
     approx = model.scores(q, codes)
-    norm = np.linalg.norm(q, axis=1)
     # room for the single precision of the tables
-    slack = norm[:, None] * (left[None] + 1e-5 * (1 + np.linalg.norm(v, axis=1)[None])) + 1e-9
-    other = ids[None] != q_ids[:, None]
-    need = min(k, len(ids))
-    reach = np.partition(np.where(other, approx - slack, -np.inf), len(ids) - need, axis=1)[:, len(ids) - need]
-    if need < k:  # fewer than k candidates here: none can be passed over for another of this block
-        reach = np.full(len(q), -np.inf)
-    if floor is not None:
-        reach = np.maximum(reach, floor)
-    row, column = np.nonzero((approx + slack >= reach[:, None]) & other)
-    score = np.concatenate([np.zeros(0), *(exact_products(q[row[a : a + 65536]], v[column[a : a + 65536]]) for a in range(0, len(row), 65536))])
-    order = np.lexsort((ids[column], -score, row))
-    rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-    top = order[rank < k]
-    return q_ids[row[top]], row[top], ids[column[top]], score[top], len(row)
+    slack = np.linalg.norm(q, axis=1)[:, None].astype(np.float32) * (left + 1e-5 * (1 + np.linalg.norm(v, axis=1))).astype(np.float32)[None]
+    slack += np.float32(1e-9)
+    for column in np.flatnonzero(np.isin(ids, q_ids)):  # a query is no candidate of its own
+        approx[q_ids == ids[column], column] = -np.inf
+    reach = np.full(len(q), -np.inf) if floor is None else floor.copy()
+    if k <= len(ids):  # else none can be passed over for another of this block
+        seeds = np.argpartition(approx, len(ids) - min(len(ids), 2 * k), axis=1)[:, -2 * k :]
+    out = []
+    for i in range(len(q)):
+        if k <= len(ids):  # what the best by table reach exactly
+            own = seeds[i][approx[i, seeds[i]] > -np.inf]
+            if len(own) >= k:
+                found = v[own] @ q[i]
+                reach[i] = max(reach[i], np.partition(found, len(own) - k)[len(own) - k])
+        room = 1e-6 * (1 + abs(reach[i])) if np.isfinite(reach[i]) else 0.0
+        may = np.flatnonzero((approx[i] + slack[i] >= reach[i] - room) & (approx[i] > -np.inf))
+        near = v[may] @ q[i]
+        if len(may) > k:
+            kth = np.partition(near, len(may) - k)[len(may) - k]
+            best = may[near >= kth - 1e-9 * (1 + abs(kth))]
+        else:
+            best = may
+        score = exact_products(np.broadcast_to(q[i], (len(best), q.shape[1])), v[best])
+        top = np.lexsort((ids[best], -score))[:k]
+        out.append((np.full(len(top), i), ids[best[top]], score[top], len(may)))
+    row, found, score = (np.concatenate(c) for c in zip(*(o[:3] for o in out)))
+    return q_ids[row], row, found, score, sum(o[3] for o in out)
 
 
 def _search(models: dict[int, AdditiveCode], k: int, most_held: int = 64):
