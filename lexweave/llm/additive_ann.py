@@ -1,14 +1,16 @@
 """Nearest neighbours by inner product with additive quantisation.
 
-A vector is coded as a sum of full-dimensional codewords, one of each residual codebook, found by beam search; the norm
-of what the code leaves over is stored. A query's inner product with a code is a sum of table look-ups, and |q| times
-the stored norm bounds the rest. The best by table are multiplied exactly, and a vector is passed over only if it cannot
-reach the k-th best of those, or of the blocks that the task has seen. The others are reranked query by query with exact
-inner products in double precision: recall is 1 for any fitted codebooks.
+A vector is coded as a sum of full-dimensional codewords, one of each residual codebook, found by beam search, and of one
+signed byte a component for what they leave over; the norm of what the code leaves then is stored. A query's inner product
+with a decoded code is a product of matrices, and |q| times the stored norm bounds the rest. A vector is passed over only
+if it cannot reach the k-th best that the query has seen. The others are reranked with exact inner products in double
+precision: recall is 1 for any fitted codebooks.
 
-Every row is indexed; codebooks are fitted on a bounded sample. The stated query set meets all vectors in blocks: vectors
-are packed ``VECTORS`` to a row and queries ``QUERIES`` to a row, dealt by query block and salt. A block of vectors
-travels once, with its codes; a task keeps only the running k best of its query blocks.
+Every row is indexed; codebooks are fitted on a bounded sample. The stated query set meets all vectors: vectors are packed
+``VECTORS`` to a row with their codes and queries ``QUERIES`` to a row. Blocks of vectors are dealt to groups of some
+``HELD_BYTES`` and travel once; a copy of the queries goes to each group. A task decodes a group, keeps it, and lets the
+blocks of queries pass by, so it holds one group however many queries there are. Nothing is joined, so nothing is
+broadcast, and the driver gets the sample and a count a length only.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a
 null vec_id; vectors of another length than the query are no candidates; rows that repeat a vec_id are candidates each,
@@ -26,12 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions
 from .vectors import k_means, matrix, nearest, sample_matrix, usable
 
 NEIGHBOURS, EVERY = 20, 20
 BOOKS, WORDS, BEAM, SAMPLE = 48, 64, 2, 4096
 VECTORS, QUERIES = 8192, 1024
+HELD_BYTES = 128 << 20
+#: Rows coded at once; queries and vectors of a product of matrices; vectors that give a query its first k best.
+CODED, TILE, STRIP, SEEDED = 512, 256, 4096, 2048
 
 
 class AdditiveCode:
@@ -41,48 +46,79 @@ class AdditiveCode:
             book = k_means(rest, words, rounds=8, seed=23 + m)
             self.books.append(book)
             rest = rest - book[nearest(rest, book)]
+        self.scale = np.abs(sample).max()  # the beam is searched in single precision
 
-    def encode(self, v: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and the norm of what they leave over, keeping the `beam` best partial sums after each codebook."""
-        n = len(v)
-        rest, codes = v[:, None, :], np.zeros((n, 1, 0), np.uint8)
-        for book in self.books:
-            cost = ((rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)).reshape(n, -1)
-            best = np.argpartition(cost, beam - 1, axis=1)[:, :beam] if cost.shape[1] > beam else np.tile(np.arange(cost.shape[1]), (n, 1))
-            parent, word = best // len(book), best % len(book)
-            rest = np.take_along_axis(rest, parent[:, :, None], axis=1) - book[word]
-            codes = np.concatenate((np.take_along_axis(codes, parent[:, :, None], axis=1), word[:, :, None].astype(np.uint8)), axis=2)
-        left = np.linalg.norm(rest, axis=2)
-        first = left.argmin(axis=1)
-        return codes[np.arange(n), first], left[np.arange(n), first]
-
-    def scores(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries and codes in single precision, from one table a book. A table has a row a word with
-        all queries, so a look-up copies a row."""
-        total = np.zeros((len(codes), len(q)), np.float32)
-        one, turned = np.empty_like(total), q.T.astype(np.float32)
+    def words(self, v: np.ndarray, beam: int = BEAM) -> np.ndarray:
+        """Codes, keeping the `beam` best partial sums after each codebook."""
+        out = np.zeros((len(v), len(self.books)), np.uint8)
+        books = [(book / self.scale).astype(np.float32) for book in self.books]
+        squares = [(book**2).sum(axis=1) for book in books]
+        with np.errstate(all="ignore"):
+            for at in range(0, len(v), CODED):
+                rest = (v[at : at + CODED, None] / self.scale).astype(np.float32)
+                n = np.arange(len(rest))
+                norm, steps = (rest**2).sum(axis=2), []
+                for book, square in zip(books, squares):
+                    cost = rest.reshape(-1, v.shape[1]) @ book.T
+                    cost *= -2
+                    cost += square
+                    cost = (cost.reshape(*norm.shape, -1) + norm[:, :, None]).reshape(len(n), -1)
+                    best = np.empty((len(n), min(beam, cost.shape[1])), np.int64)
+                    norm = np.empty(best.shape, np.float32)
+                    for j in range(best.shape[1]):
+                        best[:, j] = cost.argmin(axis=1)
+                        norm[:, j] = cost[n, best[:, j]]
+                        cost[n, best[:, j]] = np.inf
+                    parent, word = best // len(book), best % len(book)
+                    rest = rest[n[:, None], parent] - book[word]
+                    steps.append((parent, word))
+                path = (rest**2).sum(axis=2).argmin(axis=1)
+                for m, (parent, word) in reversed(list(enumerate(steps))):
+                    out[at : at + CODED, m] = word[n, path]
+                    path = parent[n, path]
+        return out
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(codes), self.books[0].shape[1]))
         for m, book in enumerate(self.books):
-            np.take(book.astype(np.float32) @ turned, codes[:, m], axis=0, out=one, mode="clip")
-            total += one
-        return np.ascontiguousarray(total.T)
+            total += book[codes[:, m]]
+        return total
+
+    def encode(self, v: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and the norm of what they leave over."""
+        codes = self.words(v, beam)
+        return codes, np.linalg.norm(v - self.decode(codes), axis=1)
+
+    def encode_finely(self, v: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, ...]:
+        """Codes, a signed byte a component for what they leave over, the step of a vector's bytes, and the norm of what is left then."""
+        codes = self.words(v, beam)
+        with np.errstate(all="ignore"):
+            rest = v - self.decode(codes)
+            step = np.abs(rest).max(axis=1) / 127
+            fine = np.rint(rest / np.where(step > 0, step, 1)[:, None]).astype(np.int8)
+            return codes, fine, step, np.linalg.norm(rest - fine * step[:, None], axis=1)
 
 
-BLOCK = "width int, block long, ids binary, vectors binary, codes binary, left binary"
+BLOCK = "group int, asks int, width int, ids binary, vectors binary, codes binary, fine binary, step binary, left binary"
 
 
-def _pack(models: dict[int, AdditiveCode], most: int, coded: bool):
+def _pack(models: dict[int, AdditiveCode] | None, most: int, groups: int, kind: str):
+    """Rows of up to `most` vectors in the components' type: coded, or with no models as queries."""
     names = [x.split()[0] for x in BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        task, made = TaskContext.get().partitionId(), 0
+        made = TaskContext.get().partitionId()
 
         def put(width: int, ids: np.ndarray, v: np.ndarray):
             nonlocal made
-            codes, left = models[width].encode(v) if coded else (np.zeros(0, np.uint8), np.zeros(0))
-            values = (width, (task << 32) + made, ids.astype("<i8").tobytes(), v.astype("<f8").tobytes(), codes.tobytes(), left.astype("<f8").tobytes())
+            parts = (b"", b"", b"", b"")
+            if models is not None:
+                codes, fine, step, left = models[width].encode_finely(v)
+                parts = codes.tobytes(), fine.tobytes(), step.astype("<f8").tobytes(), left.astype("<f8").tobytes()
+            values = (made % groups, int(models is None), width, ids.astype("<i8").tobytes(), v.astype(kind).tobytes(), *parts)
             made += 1
-            kinds = (pa.int32(), pa.int64(), *(pa.binary(),) * 4)
+            kinds = (*(pa.int32(),) * 3, *(pa.binary(),) * 6)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names=names)
 
         for batch in batches:
@@ -111,75 +147,128 @@ def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return total
 
 
+def _few(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few that are true; eight are looked at together where they can be."""
+    flat = mask.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64).astype(bool))
+    return (8 * some[:, None] + np.arange(8))[flat.reshape(-1, 8)[some]]
+
+
+class Held:
+    """Vectors and their decoded codes in single precision, each with a last component that bounds, for a query of length
+    one, what its code leaves over and what single precision loses."""
+
+    def __init__(self, model: AdditiveCode, ids, v, codes, left, fine=None, step=None):
+        self.ids, self.v, self.scale = ids, v, max(float(np.abs(v).max()), 1e-300)
+        d = v.shape[1]
+        self.upper = np.empty((len(ids), d + 1), np.float32)
+        with np.errstate(all="ignore"):
+            for at in range(0, len(ids), VECTORS):
+                own = slice(at, at + VECTORS)
+                near = model.decode(codes[own])
+                if fine is not None:
+                    near += fine[own] * step[own, None]
+                near, over = near / self.scale, left[own] / self.scale
+                self.upper[own, :d] = near
+                self.upper[own, d] = over + (d + 8) * 2.0**-23 * (np.linalg.norm(near, axis=1) + over) + 1e-30
+
+    def search(self, q_ids, q, k: int, floor: np.ndarray | None = None):
+        """(query row, id, score) of each query's k best, and how many candidates were reranked; floor is what a query's k
+        best reach already."""
+        n, d = self.v.shape
+        reach = np.full(len(q), -np.inf) if floor is None else floor.copy()
+        row, column, score, reranked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        held, waiting = [], 0
+
+        def least():
+            """What an upper bound must reach, in the scale of the bounds; all do where that is no finite number."""
+            at = reach / scale / self.scale
+            at -= 1e-6 * np.abs(at) + 1e-30
+            return np.where(np.isfinite(at), at, -np.inf).astype(np.float32)[:, None]
+
+        def exact(rows, columns):
+            return exact_products(q[rows], self.v[columns].astype(np.float64))
+
+        def merge():
+            nonlocal row, column, score, held, waiting
+            row, column, score = (np.concatenate(c) for c in zip((row, column, score), *held))
+            order = np.lexsort((self.ids[column], -score, row))
+            row, column, score = row[order], column[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            last = rank == k - 1
+            reach[row[last]] = np.maximum(reach[row[last]], score[last])
+            row, column, score = row[rank < k], column[rank < k], score[rank < k]
+            held, waiting = [], 0
+
+        with np.errstate(all="ignore"):
+            scale = np.maximum(np.abs(q).max(axis=1), 1e-300)
+            turned = q / scale[:, None]
+            turned = np.hstack((turned, np.linalg.norm(turned, axis=1)[:, None] * (1 + 1e-6))).astype(np.float32)
+            if k < n:  # else none can be passed over for another of these
+                first = turned @ self.upper[:SEEDED].T
+                many = min(2 * k, first.shape[1])
+                seeds = np.argpartition(first, first.shape[1] - many, axis=1)[:, -many:]
+                rows = np.repeat(np.arange(len(q)), many)
+                found = exact(rows, seeds.ravel())
+                found[self.ids[seeds.ravel()] == q_ids[rows]] = -np.inf
+                if k <= many:
+                    reach = np.fmax(reach, np.partition(found.reshape(len(q), many), many - k, axis=1)[:, many - k])
+            at_least, slice_of = least(), max(1, (1 << 22) // d)
+            room = np.empty(len(q) * min(n, STRIP), np.float32)
+            for at in range(0, n, STRIP):
+                strip = self.upper[at : at + STRIP]
+                bound = np.matmul(turned, strip.T, out=room[: len(q) * len(strip)].reshape(len(q), -1))
+                may = _few(~(bound < at_least))
+                for some in range(0, len(may), slice_of):
+                    rows, columns = np.divmod(may[some : some + slice_of], len(strip))
+                    columns += at
+                    other = self.ids[columns] != q_ids[rows]  # a query is no candidate of its own
+                    rows, columns = rows[other], columns[other]
+                    held.append((rows, columns, exact(rows, columns)))
+                    reranked += len(rows)
+                    waiting += len(rows)
+                    if waiting >= 8 * k * len(q):
+                        merge()
+                if at == 0 or waiting >= k * len(q):
+                    merge()
+                    at_least = least()
+            merge()
+        return row, self.ids[column], score, reranked
+
+
 def search_block(model: AdditiveCode, q_ids, q, ids, v, codes, left, k: int, floor: np.ndarray | None = None):
-    """(query row, id, score) of each query's k best in one block, and how many candidates were reranked; floor is what a
-    query's k best reach already."""
-    approx = model.scores(q, codes)
-    # room for the single precision of the tables
-    slack = np.linalg.norm(q, axis=1)[:, None].astype(np.float32) * (left + 1e-5 * (1 + np.linalg.norm(v, axis=1))).astype(np.float32)[None]
-    slack += np.float32(1e-9)
-    for column in np.flatnonzero(np.isin(ids, q_ids)):  # a query is no candidate of its own
-        approx[q_ids == ids[column], column] = -np.inf
-    reach = np.full(len(q), -np.inf) if floor is None else floor.copy()
-    if k <= len(ids):  # else none can be passed over for another of this block
-        seeds = np.argpartition(approx, len(ids) - min(len(ids), 2 * k), axis=1)[:, -2 * k :]
-    out = []
-    for i in range(len(q)):
-        if k <= len(ids):  # what the best by table reach exactly
-            own = seeds[i][approx[i, seeds[i]] > -np.inf]
-            if len(own) >= k:
-                found = v[own] @ q[i]
-                reach[i] = max(reach[i], np.partition(found, len(own) - k)[len(own) - k])
-        room = 1e-6 * (1 + abs(reach[i])) if np.isfinite(reach[i]) else 0.0
-        may = np.flatnonzero((approx[i] + slack[i] >= reach[i] - room) & (approx[i] > -np.inf))
-        near = v[may] @ q[i]
-        if len(may) > k:
-            kth = np.partition(near, len(may) - k)[len(may) - k]
-            best = may[near >= kth - 1e-9 * (1 + abs(kth))]
-        else:
-            best = may
-        score = exact_products(np.broadcast_to(q[i], (len(best), q.shape[1])), v[best])
-        top = np.lexsort((ids[best], -score))[:k]
-        out.append((np.full(len(top), i), ids[best[top]], score[top], len(may)))
-    row, found, score = (np.concatenate(c) for c in zip(*(o[:3] for o in out)))
-    return q_ids[row], row, found, score, sum(o[3] for o in out)
-
-
-def _search(models: dict[int, AdditiveCode], k: int, most_held: int = 64):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        running: dict[tuple, tuple] = {}
+    """(query id, query row, id, score) of each query's k best in one block, and how many candidates were reranked."""
+    row, found, score, reranked = Held(model, ids, v, codes, left).search(q_ids, q, k, floor)
+    return q_ids[row], row, found, score, reranked
 
-        def out(found):
-            q_ids, _, ids, score = found
-            return pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
+def _search(models: dict[int, AdditiveCode], k: int, kind: str):
+    """From rows by group and width, vectors before queries: each query's k best of its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, held = None, [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                model, width = models[row["width"]], row["width"]
-                q_ids, q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, width)
-                ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, width)
-                codes, left = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["left"], "<f8")
-                key, parts = (width, row["q_block"]), []
-                floor = np.full(len(q), -np.inf)
-                if key in running:
-                    _, at, _, score = running[key]  # by query row, best first
-                    full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
-                    floor[at[full]] = score[full]
-                for at in range(0, len(q), 128):
-                    got = search_block(model, q_ids[at : at + 128], q[at : at + 128], ids, v, codes, left, k, floor[at : at + 128])
-                    parts.append((got[0], got[1] + at, got[2], got[3]))
-                found = tuple(np.concatenate(c) for c in zip(*parts))
-                if key in running:
-                    both = tuple(np.concatenate(c) for c in zip(running[key], found))
-                    order = np.lexsort((both[2], -both[3], both[1]))
-                    row_of = both[1][order]
-                    rank = np.arange(len(order)) - np.searchsorted(row_of, row_of)
-                    found = tuple(c[order[rank < k]] for c in both)
-                running[key] = found
-                if len(running) > most_held:
-                    yield out(running.pop(next(iter(running))))
-        for found in running.values():
-            yield out(found)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                width = row["width"]
+                if (row["group"], width) != now:
+                    now, blocks, held = (row["group"], width), [], None
+                ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], kind).reshape(-1, width)
+                if not row["asks"]:
+                    codes, fine = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["fine"], np.int8).reshape(-1, width)
+                    blocks.append((ids, v, codes, np.frombuffer(row["left"], "<f8"), fine, np.frombuffer(row["step"], "<f8")))
+                    continue
+                if held is None:
+                    if not blocks:
+                        continue
+                    held = Held(models[width], *(np.concatenate(c) for c in zip(*blocks)))
+                    blocks = []
+                for at in range(0, len(ids), TILE):
+                    asked = ids[at : at + TILE]
+                    rows, found, score, _ = held.search(asked, v[at : at + TILE].astype(np.float64), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[rows], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -188,17 +277,19 @@ def search(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> Da
     """(query_id, rank, vec_id, score): the k nearest of each row whose vec_id is divisible by every."""
     spark = embeddings.sparkSession
     own = usable(embeddings, "vec_id").where("vec_id is not null").withColumn("width", F.size("v"))
-    models = {r["width"]: AdditiveCode(sample_matrix(own.where(F.col("width") == r["width"]), SAMPLE)) for r in own.select("width").distinct().orderBy("width").collect()}
+    kind = "<f4" if dict(own.dtypes)["v"] == "array<float>" else "<f8"
+    counts = {r["width"]: r["count"] for r in own.groupBy("width").count().orderBy("width").collect()}
+    models = {width: AdditiveCode(sample_matrix(own.where(F.col("width") == width), SAMPLE)) for width in counts}
     if not models:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = written(own.mapInArrow(_pack(models, VECTORS, True), BLOCK), "ann-index")
+    # groups small enough to be held, and as many as there are cores twice over if the table fills them with blocks
+    rows, held = sum(counts.values()), sum(n * (width + 4) * (int(kind[-1]) + 4) for width, n in counts.items())
+    groups = max(1, -(-held // HELD_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-rows // VECTORS)))
+    index = own.mapInArrow(_pack(models, VECTORS, groups, kind), BLOCK)
     asked = own.where(F.col("vec_id") % every == 0).coalesce(max(1, partitions(spark) // 4))
-    queries = written(asked.mapInArrow(_pack(models, QUERIES, False), BLOCK), "ann-queries").select("width", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    salts = partitions(spark)
-    salted = index.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    # every block of vectors meets every block of queries: the query set is stated, and a row is a whole block
-    q_salted = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = salted.join(q_salted, ["width", "salt"])
-    found = met.mapInArrow(_search(models, k), "query_id long, vec_id long, score double")
+    # every query meets every vector: the query set is stated, and a row is a whole block
+    queries = asked.mapInArrow(_pack(None, QUERIES, 1, kind), BLOCK).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = index.unionByName(queries).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "width", "asks")
+    found = met.mapInArrow(_search(models, k, kind), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

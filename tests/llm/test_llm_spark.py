@@ -280,6 +280,27 @@ def test_vectors(spark):
     assert search(table.limit(0)).count() == 0 and search(table.where("vec_id = 1")).count() == 0
 
 
+def test_search_broadcasts_no_copies_of_the_queries(spark, monkeypatch):
+    for name, value in (("HELD_BYTES", 20000), ("VECTORS", 64), ("QUERIES", 8)):
+        monkeypatch.setattr(f"lexweave.llm.additive_ann.{name}", value, raising=False)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 8)) * 10.0 ** rng.integers(-3, 4, (600, 1))
+    v[40], v[60], v[77] = v[40] * 1e100, v[60] * 1e-100, v[80]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(i, x[:3].tolist()) for i, x in enumerate(v[:30], 1000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = search(table)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    have = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        have.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert list(have) == [*range(0, 600, 20), 1000, 1020]
+    for i, got in have.items():
+        same = [(j, x) for j, x in rows if j != i and len(x) == len(rows[i][1] if i < 1000 else rows[600][1])]
+        q = dict(rows)[i]
+        scores = [(j, float(np.multiply(q, x).cumsum()[-1])) for j, x in same]  # added one after the other
+        assert got == sorted(scores, key=lambda x: (-x[1], x[0]))[:20]
+
+
 def _sql(sql, docs):
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
