@@ -27,6 +27,8 @@ from .shared import partitions, scratch_root, text_slices
 from .tokens import encoder, public_path
 
 SHARD_IDS = 1 << 20
+#: Words whose ids a worker keeps, some 70 bytes each and their place in a dict.
+REMEMBER = 500_000
 #: Occurrences from which a pair is frequent; a rule takes three words, its two symbols and its length.
 LEAST_COUNT = 8
 #: Nonterminals are numbered from here; ids of the tokenizer lie below.
@@ -34,22 +36,21 @@ FIRST_RULE = 1 << 24
 FORMAT = "task int, shard int, doc_ids binary, doc_nulls binary, doc_places binary, rules binary, rule_lengths binary, symbols binary, n_ids long"
 
 
-def _members(chosen: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where `pair` is one of `chosen`, which one, and where it may be one that found no place: a hash table with one
-    slot a value, of which the first of `chosen` that falls there stays."""
-    bits = max(10, min(20, len(chosen).bit_length() + 3))
-    slot = lambda p: ((p.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-    table, own = np.full(1 << bits, -1, np.int32), slot(chosen)
-    table[own[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-    crowded = np.zeros(1 << bits, bool)
-    crowded[own[table[own] != np.arange(len(chosen))]] = True
-    slots = slot(pair)
-    which = table[slots]
-    where = np.flatnonzero(which >= 0)
-    which = which[where]
-    hit = chosen[which] == pair[where]
-    missed = where[~hit]
-    return where[hit], which[hit], missed[crowded[slots[missed]]]
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of symbols of so many bits in ascending order, and their places among n, ascending for equal pairs."""
+    pair = left.astype(np.int64)
+    pair <<= bits
+    pair |= right
+    low = n.bit_length()
+    if 2 * bits + low > 63:
+        order = np.argsort(pair, kind="stable")
+        return pair[order], at[order]
+    pair <<= low  # pair and place in one word: a plain sort does it
+    pair |= at
+    pair.sort()
+    place = (pair & ((1 << low) - 1)).astype(np.int32)
+    pair >>= low
+    return pair, place
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
@@ -59,54 +60,73 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
     before but not replaced; other counts only fall. All frequent pairs are replaced at once; where they overlap, the more
     frequent one, in a run of one pair every other one. A pair that keeps less than half of `least` places that way waits
     for the next round. The most frequent pair keeps at least half of its places, so every round replaces some; the last
-    one finds no frequent pair. The sequence is a linked list, so a round costs what changed.
+    one finds no frequent pair. The sequence is a linked list, so a round costs what changed. Inside, nonterminals are
+    numbered from the largest id on, so that a pair and its place fit into one word.
     """
     n = len(ids)
-    if n and int(ids.max()) >= FIRST_RULE:
+    base = int(ids.max()) + 1 if n else 0
+    if base > FIRST_RULE:
         raise ValueError(f"ids must be below {FIRST_RULE}")
-    symbol, last, alive = ids.astype(np.int64), np.zeros(n, bool), np.ones(n, bool)
-    last[ends] = True
+    symbol, last, alive, begins = ids.astype(np.int32), np.zeros(n, bool), np.ones(n, bool), np.ones(n, bool)
+    last[ends], begins[ends] = True, False  # begins: a pair begins here
     following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-    rank, rules, made = np.zeros(n + 1, np.int32), [], 0  # before[0] reads the spare place at the end
-    at = np.flatnonzero(~last).astype(np.int32)
+    rank, rules, made = np.zeros(n + 1, np.int32), [np.zeros((0, 2), np.int64)], 0  # before[0] reads the spare place at the end
+    at = np.flatnonzero(begins).astype(np.int32)
     while len(at):
-        pair = (symbol[at] << 32) | symbol[following[at]]
-        counted = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate(([True], counted[1:] != counted[:-1], [True])))
+        bits = (base + made).bit_length()
+        pair, place = _sorted_pairs(symbol[at], symbol[following[at]], at, bits, n)
+        edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
         many = np.diff(edge)
         frequent = np.flatnonzero(many >= least)
         if not len(frequent):
             break
-        chosen = counted[edge[frequent[np.argsort(-many[frequent], kind="stable")]]]
-        where, which, late = _members(chosen, pair)
-        p = at[where]
-        q = following[p]
-        rank[p] = len(chosen) - which
-        head = np.concatenate(([True], (q[:-1] != p[1:]) | (which[1:] != which[:-1])))[: len(p)]
-        place = np.arange(len(p), dtype=np.int32)
-        even = (place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 0
-        take = np.where(head, rank[p] > rank[before[p]], even) & (rank[p] >= rank[q])
+        edge, many = edge[frequent], many[frequent]
+        order = np.argsort(-many, kind="stable")
+        ranks = np.empty(len(order), np.int32)
+        ranks[order] = np.arange(len(order), 0, -1)
+        spots = np.repeat(edge - np.cumsum(many) + many, many)
+        spots += np.arange(len(spots))
+        place = place[spots]
+        rank[place] = np.repeat(ranks, many)
+        wide = 8 * len(place) > n  # a pass over all places is cheaper then
+        p = np.flatnonzero(rank).astype(np.int32) if wide else np.sort(place)
+        q, own = following[p], rank[p]
+        take = own > rank[before[p]]
+        run = np.flatnonzero((q[:-1] == p[1:]) & (own[1:] == own[:-1])) + 1
+        if len(run):
+            head = np.flatnonzero(np.concatenate(([True], np.diff(run) != 1)))
+            take[run] = (run - np.repeat(run[head] - 1, np.diff(head, append=len(run)))) & 1 == 0
+        take &= own >= rank[q]
         rank[p] = 0
-        take &= (np.bincount(which[take], minlength=len(chosen)) >= least // 2)[which]
-        first, rule = p[take], which[take]
+        taken = np.flatnonzero(take)
+        which = len(order) - own[taken]
+        used = np.bincount(which, minlength=len(order)) >= least // 2
+        stays = used[which]
+        first, which = p[taken[stays]], which[stays]
         second = following[first]
-        used = np.unique(rule)
-        number = np.zeros(len(chosen), np.int64)
-        number[used] = FIRST_RULE + made + np.arange(len(used))
-        rules.append(chosen[used])
-        made += len(used)
-        symbol[first], last[first], alive[second] = number[rule], last[second], False
+        number = (base + made - 1 + np.cumsum(used)).astype(np.int32)
+        chosen = pair[edge[order[used]]]
+        rules.append(np.stack((chosen >> bits, chosen & ((1 << bits) - 1)), axis=1))
+        made += len(chosen)
+        symbol[first], last[first], alive[second] = number[which], last[second], False
+        begins[first], begins[second] = begins[second], False
         after = following[second]
         following[first] = after
         inside = after < n
         before[after[inside]] = first[inside]
-        again = np.zeros(n + 1, bool)
-        for places in (p[~take], at[late], first, before[first]):
-            again[places] = True
-        at = np.flatnonzero(again[:n] & alive & ~last).astype(np.int32)
+        near = before[first]
+        if wide:
+            again = np.zeros(n + 1, bool)
+            again[p] = again[near] = True
+            at = np.flatnonzero(again[:n] & begins).astype(np.int32)
+        else:
+            at = np.sort(np.concatenate((p, near[near >= 0])))
+            at = at[begins[at] & np.concatenate(([True], at[1:] != at[:-1]))]
     keep = np.flatnonzero(alive)
-    flat = np.concatenate(rules) if rules else np.zeros(0, np.int64)
-    return symbol[keep].astype(np.uint32), np.flatnonzero(last[keep]), np.stack((flat >> 32, flat & 0xFFFFFFFF), axis=1).astype(np.uint32)
+    symbols, pairs = symbol[keep].astype(np.uint32), np.concatenate(rules).astype(np.uint32)
+    for x in (symbols, pairs):
+        x += (x >= base) * np.uint32(FIRST_RULE - base)
+    return symbols, np.flatnonzero(last[keep]), pairs
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
@@ -117,22 +137,40 @@ def rule_lengths(rules: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    seq = symbols.astype(np.int64)
-    while len(rules) and (big := seq >= FIRST_RULE).any():
-        out = np.repeat(seq, 1 + big)
-        at = np.flatnonzero(big) + np.arange(int(big.sum()))
-        pairs = rules[seq[big] - FIRST_RULE]
-        out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
-        seq = out
-    return seq.astype(np.uint32)
+def _widths(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many ids each symbol expands to."""
+    out, big = np.ones(len(symbols), np.int64), np.flatnonzero(symbols >= FIRST_RULE)
+    out[big] = lengths[symbols[big] - FIRST_RULE]
+    return out
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids, each symbol's put where its length and those before it say; a round only touches nonterminals that are left."""
+    lengths = rule_lengths(rules) if lengths is None else lengths
+    left, right = np.ascontiguousarray(rules.T)
+    shift = _widths(left, lengths)  # from a rule's place to that of its right symbol
+    if not np.array_equal(shift + _widths(right, lengths), lengths):
+        raise ValueError("a rule's length is not that of its two symbols")
+    width = _widths(symbols, lengths)
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.uint32)
+    out[at] = symbols
+    big = np.flatnonzero(symbols >= FIRST_RULE)
+    at, rule = at[big], symbols[big] - FIRST_RULE
+    while len(at):
+        a, b, after = left[rule], right[rule], at + shift[rule]
+        out[at], out[after] = a, b
+        in_a, in_b = np.flatnonzero(a >= FIRST_RULE), np.flatnonzero(b >= FIRST_RULE)
+        at, rule = np.concatenate((at[in_a], after[in_b])), np.concatenate((a[in_a], b[in_b])) - FIRST_RULE
+    return out
 
 
 def document(row: dict, k: int) -> np.ndarray:
     """Ids of the k-th document of a shard row, without decoding the others."""
     places = np.frombuffer(row["doc_places"], "<u4")
     symbols = np.frombuffer(row["symbols"], "<u4")[places[k] : places[k + 1]]
-    return expand(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2))
+    lengths = np.frombuffer(row["rule_lengths"], "<u4") if "rule_lengths" in row else None
+    return expand(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2), lengths)
 
 
 def _shards(path: str, keeps_space: bool, shard_ids: int):
@@ -140,7 +178,7 @@ def _shards(path: str, keeps_space: bool, shard_ids: int):
     names = [x.split()[0] for x in FORMAT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, shard = encoder(path, keeps_space), TaskContext.get().partitionId(), 0
+        enc, task, shard = encoder(path, keeps_space, REMEMBER), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in text_slices(whole, most_bytes=4 << 20):
                 ids, at = enc.encode_with_end(batch.column("text"))
@@ -174,11 +212,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = np.frombuffer(row["doc_places"], "<u4")
             symbols = np.frombuffer(row["symbols"], "<u4")
             lengths = np.frombuffer(row["rule_lengths"], "<u4")
-            big = symbols >= FIRST_RULE
-            width = np.ones(len(symbols), np.int64)
-            width[big] = lengths[symbols[big] - FIRST_RULE]
-            at = np.concatenate(([0], np.cumsum(width)))[places]  # where each document's ids begin, before any decoding
-            raw = memoryview(expand(symbols, rules).astype("<u4").tobytes())
+            at = np.concatenate(([0], np.cumsum(_widths(symbols, lengths))))[places]  # where each document's ids begin, before any decoding
+            raw = memoryview(expand(symbols, rules, lengths).astype("<u4", copy=False)).cast("B")
             if len(raw) != 4 * row["n_ids"] or at[-1] != row["n_ids"]:
                 raise ValueError("a shard does not expand to the length it states")
             docs = np.frombuffer(row["doc_ids"], "<i8")

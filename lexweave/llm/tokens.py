@@ -9,6 +9,7 @@ pieces, and texts in which cuts are not certain or that spell a special token, g
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ class PieceEncoder:
     """Encode texts as uint32 ids.
 
     ``keeps_space``: the tokenizer gives ids to white space (byte-level), else it drops it and lower-cases.
-    ``remember``: how many words are kept from call to call; beyond it all are forgotten and learnt anew.
+    ``remember``: how many words are kept from call to call; beyond it those go that were met in one call only since the
+    last time, or all, if the others are more than half of it.
     """
 
     def __init__(self, path: str, keeps_space: bool, remember: int = 250_000):
@@ -67,32 +69,50 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # a word's number
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # word k has ids[ends[k] : ends[k + 1]]
+        self.met = np.zeros(1 << 14, bool)  # again, in a later call than the one that brought the word
 
-    def _new_words(self, words: list[str]) -> None:
-        """Learn words of the pre-tokenizer, by the model alone."""
-        ids, ends, tokenize, n = [], [], self.model.tokenize, len(self.known)
-        for word in words:
-            space = word[:1] == " "
-            own = word[1:] if space else word
-            if not own.isascii():
-                own = own.encode().decode("latin-1").translate(_NAMES)
-            ids += [t.id for t in tokenize(_NAMES[32] + own if space else own)]
-            ends.append(len(ids))
-        begin = int(self.ends[n])
+    def _forget_rare(self) -> None:
+        """Forget the words that were not met again."""
+        kept = np.flatnonzero(self.met[: len(self.known)])
+        words, ids, ends = list(self.known), self.ids, self.ends
+        self._forget()
+        if len(kept) <= self.remember // 2:
+            flat, at = _gathered(ids, ends[kept], ends[kept + 1] - ends[kept])
+            self._add([words[i] for i in kept.tolist()], flat, at[1:])
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Number further words; ends: where each one's ids end."""
+        n, begin = len(self.known), int(self.ends[len(self.known)])
         while len(self.ids) < begin + len(ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while len(self.ends) <= n + len(words):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+            self.ends, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.ends, self.met))
         self.ids[begin : begin + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(words)] = begin + np.array(ends, np.int64)
+        self.ends[n + 1 : n + 1 + len(words)] = begin + ends
         self.known.update(zip(words, range(n, n + len(words))))
 
+    def _new_words(self, words: list[str]) -> None:
+        """Learn words of the pre-tokenizer, by the model alone."""
+        ids, ends, tokenize, space = [], [], self.model.tokenize, _NAMES[32]
+        for word in words:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_NAMES)
+            elif word[:1] == " ":
+                word = space + word[1:]
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        self._add(words, np.array(ids, np.uint32), np.array(ends, np.int64))
+
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """The number of each word; new ones are learnt."""
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._new_words([w for w in distinct if w not in self.known])
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        self.met[numbers[numbers >= 0]] = True
+        numbers[new] = len(self.known) + np.arange(len(new))
+        self._new_words([distinct[i] for i in new.tolist()])
+        return numbers[coded.indices.to_numpy()]
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and the places where each begins."""
@@ -154,7 +174,7 @@ class PieceEncoder:
         if coded is None:
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if len(self.known) > self.remember:
-            self._forget()
+            self._forget_rare()
         which, pieces = np.asarray(coded.indices).astype(np.int64), coded.dictionary
         flat, places = self._pieces(pieces)
         whole = []  # texts and pieces that are encoded by themselves stand behind the pieces

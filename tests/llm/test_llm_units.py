@@ -28,6 +28,36 @@ def test_remembered_pieces_give_the_ids_of_whole_texts(name, keeps):
         assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_words_met_again_are_not_forgotten():
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    enc, learnt = PieceEncoder(public_path("word_bpe_49k.json"), False, remember=300), []
+    learn, common = enc._new_words, [f"x{letters(i)}" for i in range(100)]
+    enc._new_words = lambda words: (learnt.extend(words), learn(words))
+    for call in range(12):
+        text = " ".join(common + [f"y{letters(1000 * call + i)}" for i in range(100)])
+        ids, at = enc.encode(pa.array([text]))
+        assert np.array_equal(ids, enc.whole(text)) and len(enc.known) <= 500 + len(common)
+    assert all(learnt.count(w) == 1 for w in common)
+    enc.remember = 100  # the common ones are more than half of it now
+    enc.encode(pa.array(["once more"]))
+    assert set(enc.known) == {"", "once", "more"}
+
+
+def test_repair_and_expansion_of_ids_too_large_for_one_word_with_their_place():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate((rng.integers(0, 40, 20_000), np.zeros(101, np.int64), rng.integers(0, 40, 20_000))).astype(np.uint32)
+    ends = np.array([9, 20_050, len(ids) - 1])
+    symbols, last, rules = token_output.repair(ids, ends)
+    up = token_output.FIRST_RULE - 40
+    far, far_last, far_rules = token_output.repair(ids + np.uint32(up), ends)
+    near = lambda x: np.where(x < token_output.FIRST_RULE, x - up, x)
+    assert np.array_equal(near(far), symbols) and np.array_equal(far_last, last) and np.array_equal(near(far_rules), rules)
+    lengths = token_output.rule_lengths(rules)
+    assert np.array_equal(token_output.expand(symbols, rules, lengths), ids)
+    with pytest.raises(ValueError):
+        token_output.expand(symbols, rules, lengths + np.arange(len(lengths), dtype=np.uint32) % 2)
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 6, n).astype(np.uint32) for n in (0, 1, 5000, 3, 800)] + [np.zeros(999, np.uint32)]
