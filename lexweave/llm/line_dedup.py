@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, as_bytes, drop_written, free_name, partitions, text_slices, written
+from .shared import ASCII_SPACE, as_bytes, drop_written, free_name, in_batches, partitions, text_slices, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _SPACE = ASCII_SPACE.encode()
@@ -133,11 +133,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(doc_id, bitmap) for each document that loses lines."""
     spark = docs.sparkSession
     lines = written(
-        docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_long_lines(min_chars), "k1 long, k2 long, doc_id long, pos int"), "lines"
+        in_batches(docs.where("doc_id is not null").select("doc_id", "text"), _long_lines(min_chars), "k1 long, k2 long, doc_id long, pos int"), "lines"
     )
     order = ["k1", "k2", F.desc("doc_id")]
     ranged = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "pos")
-    told = written(ranged.mapInArrow(_stream(min_docs), "kind byte, k1 long, k2 long, doc_id long, pos int, n long"), "line-decisions")
+    told = written(in_batches(ranged, _stream(min_docs), "kind byte, k1 long, k2 long, doc_id long, pos int, n long"), "line-decisions")
     drop_written(lines)
     # Runs cut by a partition edge: two a partition at most, each with its summary; all other rows are settled.
     runs = told.where("kind = 2").groupBy("k1", "k2").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("survivor"))
@@ -148,7 +148,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .where(F.col("doc_id") < F.coalesce("survivor", "n"))
     )
     places = losing.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # a document's own lines
-    return places.mapInArrow(_bitmaps, "doc_id long, bitmap binary")
+    return in_batches(places, _bitmaps, "doc_id long, bitmap binary")
 
 
 def _apply(keep_text: bool, names: list[str], bitmap_name: str, counts: list[str]):
@@ -187,10 +187,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     names, counts = docs.columns, list(count_names(docs.columns))
     joined, bitmap = _with_bitmaps(docs, min_chars, min_docs)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_apply(True, names, bitmap, counts), f"{kinds}, {counts[0]} long, {counts[1]} long")
+    return in_batches(joined, _apply(True, names, bitmap, counts), f"{kinds}, {counts[0]} long, {counts[1]} long")
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
     joined, bitmap = _with_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
-    return joined.mapInArrow(_apply(False, ["doc_id"], bitmap, ["n_lines", "n_dropped", "kept_sha256"]), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return in_batches(joined, _apply(False, ["doc_id"], bitmap, ["n_lines", "n_dropped", "kept_sha256"]), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

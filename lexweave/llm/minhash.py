@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_blocks, as_bytes, components, drop_written, free_name, mix64, summed, text_slices, word_hashes, words, written
+from .shared import array_blocks, as_bytes, components, drop_written, free_name, in_batches, mix64, summed, text_slices, word_hashes, words, written
 
 SHINGLE, SHARE = 5, 75
 BANDS, ROWS = 48, 5
@@ -203,7 +203,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: in
     """(doc_id, n_shingles, component_id, kept) of each row."""
     own = docs.select("doc_id", "text")
     # A doc_id may stand in several rows; then a set is named by its digest as well, and rows of one id are linked.
-    scan = written(own.mapInArrow(_scan(k, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "signatures")
+    scan = written(in_batches(own, _scan(k, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "signatures")
     some = scan.where("n > 0 and doc_id is not null")
     twice_named = _repeats(scan)
     classes = written(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class")), "classes")
@@ -212,7 +212,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: in
     met = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
     shared = written(keys.join(met, "key"), "bucket-keys")
     buckets = written(shared.join(heads.select("id", "n", "sketch"), "id"), "buckets")
-    sets = written(own.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
+    sets = written(in_batches(own.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets(k), "id long, items array<long>"), "sets")
     drop_written(shared)
     groups = None
     # Pivot rounds: a bucket's members meet one of them, first the smallest, then another at random. Each costs pairs in
@@ -303,8 +303,8 @@ def _prefix_joined(members: DataFrame, sets: DataFrame, share: int, groups: Data
     if not elements:
         return groups
     counters = 1 << int(np.clip(np.ceil(np.log2(elements)) - 3, *COUNTER_BITS))  # so that a counter holds few rare tokens
-    counts = summed(own.select("items").mapInArrow(_counted(counters), "block int, values binary"), counters).astype(np.float32)
-    prefixes = own.select("id", "component", "items").mapInArrow(_prefixes(share, counts), "token long, id long, component long, n long, at long, low boolean")
+    counts = summed(in_batches(own.select("items"), _counted(counters), "block int, values binary"), counters).astype(np.float32)
+    prefixes = in_batches(own.select("id", "component", "items"), _prefixes(share, counts), "token long, id long, component long, n long, at long, low boolean")
     prefixes = written(prefixes, "prefixes")
     useful = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("low").alias("any")).where("any and x <> y").select("token")
     rows = prefixes.join(useful, "token", "left_semi")

@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_slices, written
+from .shared import in_batches, text_slices, written
 from .tokens import encoder, public_path
 
 CAPACITY = 1024
 #: Pieces that a worker's encoder remembers.
 REMEMBER = 100_000
+#: Bytes of text that are encoded at once; smaller slices save little memory and cost time.
+SLICE = 1 << 20
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
@@ -131,7 +133,7 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(path, True, REMEMBER), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in text_slices(whole, most_bytes=2 << 20):
+            for batch in text_slices(whole, most_bytes=SLICE):
                 ids, at = enc.encode_with_end(batch.column("text"))
                 raw, lens = memoryview(ids.astype("<u4").tobytes()), np.diff(at)
                 n = -(-lens // capacity)
@@ -185,13 +187,13 @@ def _place(patterns: list[Pattern]):
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row a piece."""
     path = tokenizer or public_path("byte_bpe_50k.json")
-    cut = written(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"), "pieces")
+    cut = written(in_batches(docs.select("doc_id", "text"), _pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"), "pieces")
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = written(by_task.select("task", "length", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("shift")), "shifts")
     counts = {r["length"]: r["n"] for r in shifts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     # a row a task and length: it grows with the tasks, so it is merged and never broadcast
     ranked = cut.join(shifts.drop("n").hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("shift"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        _place(pack_histogram(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return in_batches(
+        ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), _place(pack_histogram(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, crc_mod, text_slices
+from .shared import as_bytes, crc_mod, in_batches, text_slices
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, THRESHOLD = 4000, 48, 5, 0.3
 PAIRS, GAPS = 1024, 16
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5,
     chosen = usable.groupBy("doc_id").agg(F.avg("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most sample ids
-    one = rows.mapInArrow(_rows_of_terms, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"))  # so the driver gets a row an id
+    one = in_batches(rows, _rows_of_terms, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"))  # so the driver gets a row an id
     found = one.join(chosen, "doc_id").orderBy("doc_id").toArrow()
     matrix = np.frombuffer(b"".join(found.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
     return LatentVote(matrix, np.array(found.column("label").to_pylist(), np.float64))
@@ -149,7 +149,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int
     """(doc_id, held_out, score, predicted) of each document."""
     model = fit(docs, labels, fold=fold, held=held)
     own = docs.select("doc_id", F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"), "text")
-    return own.mapInArrow(_scores(model, fold, held, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return in_batches(own, _scores(model, fold, held, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _keepers(model: LatentVote, threshold: float):
@@ -163,4 +163,4 @@ def _keepers(model: LatentVote, threshold: float):
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs' rows that the classifier does not reject."""
-    return docs.mapInArrow(_keepers(fit(docs, labels), threshold), docs.schema)
+    return in_batches(docs, _keepers(fit(docs, labels), threshold), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of rows after which a batch for a Python worker ends.
+BATCH_BYTES = 2 << 20
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) on batches of about BATCH_BYTES: ten thousand whole texts at once would be buffers of tens
+    of MB in the worker and in the JVM, whose allocator keeps them. The bound is the session's from then on, as plans read
+    it when they run; one that is set already stays. It ends batches, no rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice holds much more than most_bytes of text (one longer text is a slice of its own)."""
     if batch.num_rows == 0:

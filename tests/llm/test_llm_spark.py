@@ -8,11 +8,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("lexweave.llm")
 import corpus_pipeline
+from lexweave.llm import packing
 from lexweave.llm.additive_ann import search
 from lexweave.llm.chat import conversation_records, format_records, read_back
 from lexweave.llm.hmm import score_documents
@@ -20,7 +22,7 @@ from lexweave.llm.line_dedup import dedup_lines, line_report
 from lexweave.llm.minhash import _prefix_joined, dedup_documents, near_groups, shingle_sets
 from lexweave.llm.mixing import mix, mixed_documents, word_count
 from lexweave.llm.packing import pack
-from lexweave.llm.shared import array_blocks, summed, written
+from lexweave.llm.shared import BATCH_BYTES, array_blocks, in_batches, summed, written
 from lexweave.llm.pq_dedup import near_vectors
 from lexweave.llm.quality import quality_scores
 from lexweave.llm.queries import OP1, OP5, OP6
@@ -388,3 +390,53 @@ def test_block_sums(spark):
     blocks = spark.range(10, numPartitions=10).mapInArrow(parts, "block int, values binary")
     assert np.array_equal(summed(blocks, 5000), want)
     assert np.array_equal(summed(blocks.limit(0), 7), np.zeros(7))
+
+
+@pytest.fixture
+def default_batches(spark):
+    """Spark's own bound of a batch, before and after."""
+    spark.conf.unset(ARROW_BYTES)
+    yield
+    spark.conf.unset(ARROW_BYTES)
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _batch_sizes():
+    def run(batches):  # inside, as workers cannot import this file
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    return run
+
+
+def test_workers_get_batches_of_bounded_bytes(spark, default_batches):
+    rows = spark.range(0, 600, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 10000) as text")  # 30 MB in one task
+    found = in_batches(rows, _batch_sizes(), "bytes long, rows long").collect()
+    assert sum(r.rows for r in found) == 600 and max(r.bytes for r in found) < 2 * BATCH_BYTES
+    spark.conf.set(ARROW_BYTES, "100000")  # a bound that is set stays
+    assert max(r.rows for r in in_batches(rows, _batch_sizes(), "bytes long, rows long").collect()) <= 3
+
+
+@pytest.mark.parametrize("stage", ["quality classifier", "line dedup", "MinHash near-dedup", "best-fit packing"])
+def test_each_stage_with_workers_bounds_their_batches(spark, docs, default_batches, stage):
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(ARROW_BYTES)) == BATCH_BYTES
+    words = spark.range(0, 600, numPartitions=1).selectExpr("repeat('word ', 10000) as text").mapInArrow(_batch_sizes(), "bytes long, rows long")
+    assert max(r.bytes for r in words.collect()) < 2 * BATCH_BYTES
+
+
+def test_packing_encodes_a_megabyte_at_once(monkeypatch):
+    met = []
+
+    class Encoder:
+        def encode_with_end(self, texts):
+            met.append(sum(map(len, texts.to_pylist())))
+            return np.full(len(texts), 2, np.uint32), np.arange(len(texts) + 1)
+
+    monkeypatch.setattr(packing, "encoder", lambda *a: Encoder())
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["word " * 20_000] * 100)], names=["doc_id", "text"])
+    out = list(packing._pieces("", 1024)([batch]))
+    assert sum(b.num_rows for b in out) == 100 and sum(met) == 10_000_000 and max(met) <= 1_200_000
